@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, simhash_vptree
 
 
 def queries() -> dict:
     return {
+        "op4_simhash_vptree": simhash_vptree.op4_simhash_vptree,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
