@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash_vptree
+from . import decontaminate, exact_dedup, simhash_vptree
 
 
 def queries() -> dict:
     return {
         "op4_simhash_vptree": simhash_vptree.op4_simhash_vptree,
+        "op6_decontaminate": decontaminate.op6_decontaminate,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op6_decontaminate": decontaminate.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
     }
