@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, simhash_vptree
+from . import decontaminate, exact_dedup, language_id, simhash_vptree
 
 
 def queries() -> dict:
     return {
         "op4_simhash_vptree": simhash_vptree.op4_simhash_vptree,
+        "op5_language_id": language_id.op5_language_id,
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
