@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, simhash_vptree
+from . import decontaminate, exact_dedup, language_id, mixing, simhash_vptree
 
 
 def queries() -> dict:
     return {
+        "op1_mix_sources": mixing.op1_mix_sources,
         "op4_simhash_vptree": simhash_vptree.op4_simhash_vptree,
         "op5_language_id": language_id.op5_language_id,
         "op6_decontaminate": decontaminate.op6_decontaminate,
