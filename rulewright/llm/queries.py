@@ -5,8 +5,15 @@ from __future__ import annotations
 from . import decontaminate, exact_dedup, language_id, mixing, simhash_vptree
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": _pipeline,
         "op1_mix_sources": mixing.op1_mix_sources,
         "op4_simhash_vptree": simhash_vptree.op4_simhash_vptree,
         "op5_language_id": language_id.op5_language_id,
