@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, mixing, simhash_vptree
+from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, simhash_vptree
 
 
 def _pipeline(spark, sf_dir):
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op4_simhash_vptree": simhash_vptree.op4_simhash_vptree,
         "op5_language_id": language_id.op5_language_id,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
@@ -25,5 +26,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op6_decontaminate": decontaminate.ORACLE,
+        "op8_line_dedup": line_dedup.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
     }
