@@ -13,7 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import FILE, LOCATOR, ROW, WHITE, materialise, or_empty, read_table, sha256_hex, shared_path, with_locator
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_STORE = "spark.sql.streaming.stateStore"
+#: Keyed state on disk; all stores of an executor share one bounded cache, and a commit writes a change log.
+STATE = {
+    f"{_STORE}.providerClass": ROCKSDB,
+    f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}.rocksdb.maxMemoryUsageMB": "256",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STORE}.rocksdb.trackTotalNumberOfRows": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -37,13 +45,15 @@ def stream_state(spark: SparkSession, arrivals: DataFrame, path: str, bytes_per_
         updated.write.mode("overwrite").parquet(f"{out}/batch={batch}")
         batches.append(f"{out}/batch={batch}")
 
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").option("checkpointLocation", where).trigger(availableNow=True).foreachBatch(sink).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     paths = list(dict.fromkeys(batches))
     if not paths:
         return spark.createDataFrame([], state.schema)
