@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, line_dedup, mixing, simhash_vptree
+from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, simhash_vptree
 
 
 def _pipeline(spark, sf_dir):
@@ -15,6 +15,7 @@ def queries() -> dict:
     return {
         "pipeline": _pipeline,
         "op1_mix_sources": mixing.op1_mix_sources,
+        "op2_license_scan": license_scan.op2_license_scan,
         "op4_simhash_vptree": simhash_vptree.op4_simhash_vptree,
         "op5_language_id": language_id.op5_language_id,
         "op6_decontaminate": decontaminate.op6_decontaminate,
