@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, simhash_vptree
+from . import chat_format, decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, simhash_vptree
 
 
 def _pipeline(spark, sf_dir):
@@ -16,6 +16,7 @@ def queries() -> dict:
         "pipeline": _pipeline,
         "op1_mix_sources": mixing.op1_mix_sources,
         "op2_license_scan": license_scan.op2_license_scan,
+        "op3_chat_format": chat_format.op3_chat_format,
         "op4_simhash_vptree": simhash_vptree.op4_simhash_vptree,
         "op5_language_id": language_id.op5_language_id,
         "op6_decontaminate": decontaminate.op6_decontaminate,
@@ -26,6 +27,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op3_chat_format": chat_format.ORACLE,
         "op6_decontaminate": decontaminate.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
