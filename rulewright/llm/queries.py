@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, simhash_vptree
+from . import chat_format, decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, simhash_vptree, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op4_simhash_vptree": simhash_vptree.op4_simhash_vptree,
         "op5_language_id": language_id.op5_language_id,
         "op6_decontaminate": decontaminate.op6_decontaminate,
+        "op7_warc": warc.op7_warc,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
@@ -29,6 +30,7 @@ def oracle_sql() -> dict:
     return {
         "op3_chat_format": chat_format.ORACLE,
         "op6_decontaminate": decontaminate.ORACLE,
+        "op7_warc": warc.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
     }
