@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, simhash_vptree, warc
+from . import chat_format, decontaminate, exact_dedup, language_id, license_scan, line_dedup, mixing, pii, simhash_vptree, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op6_decontaminate": decontaminate.op6_decontaminate,
         "op7_warc": warc.op7_warc,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_pii_pseudonyms": pii.op9_pii_pseudonyms,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
