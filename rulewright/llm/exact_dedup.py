@@ -14,13 +14,14 @@ from .common import FILE, LOCATOR, ROW, WHITE, materialise, or_empty, read_table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STORE = "spark.sql.streaming.stateStore"
-#: Keyed state on disk; all stores of an executor share one bounded cache, and a commit writes a change log.
+#: Keyed state on disk; all stores of an executor share one bounded cache, a commit writes a change log, and files take no space ahead of use.
 STATE = {
     f"{_STORE}.providerClass": ROCKSDB,
     f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
     f"{_STORE}.rocksdb.maxMemoryUsageMB": "256",
     f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
     f"{_STORE}.rocksdb.trackTotalNumberOfRows": "false",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
 }
 
 
