@@ -140,8 +140,8 @@ def to_json(findings: DataFrame) -> DataFrame:
 
 def to_text(findings: DataFrame) -> DataFrame:
     """A line for each finding: place, severity, title; then a line for each related row."""
-    place = F.concat_ws(":", F.col("file"), F.col("line").cast("string"))
-    head = F.concat(F.coalesce(place, F.lit("?")), F.lit(": "), F.col("severity"), F.lit(": "), F.col("title"))
+    place = F.when(F.col("file").isNull(), "?").otherwise(F.concat_ws(":", F.col("file"), F.col("line").cast("string")))
+    head = F.concat(place, F.lit(": "), F.col("severity"), F.lit(": "), F.col("title"))
     if "related" in findings.columns:
         related = F.array_join(F.transform("related", lambda x: F.concat(F.lit("\n    "), F.to_json(x))), "")
         head = F.concat(head, related)
