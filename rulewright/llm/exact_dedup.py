@@ -58,10 +58,9 @@ def stream_state(spark: SparkSession, arrivals: DataFrame, path: str, bytes_per_
     paths = list(dict.fromkeys(batches))
     if not paths:
         return spark.createDataFrame([], state.schema)
-    rows = spark.read.schema(state.schema).option("basePath", out)
+    rows = spark.read.schema("digest string, best " + state.schema["best"].dataType.simpleString() + ", n long, batch long").option("basePath", out).parquet(*paths)
     if len(paths) == 1:
-        return rows.parquet(*paths)
-    rows = rows.schema(state.schema.add("batch", "long")).parquet(*paths)
+        return rows.drop("batch")
     return rows.groupBy("digest").agg(F.max(F.struct("batch", "best", "n")).alias("last")).select("digest", "last.best", "last.n")
 
 
