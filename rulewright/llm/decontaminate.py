@@ -31,7 +31,7 @@ def benchmark_windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
 
 
 def find_hits(located: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """Per row of located that has any: its locator, hits (sorted struct at, size: word positions) and item_ids."""
+    """Per row of located that has any: its locator, hits (sorted struct at, size: word positions), item_ids and n_words."""
     windows = materialise(benchmark_windows(items, n), "windows")
     small = windows.count() <= MAX_BROADCAST_WINDOWS
     gates = sorted(r[0] for r in windows.select("gate").distinct().collect())
@@ -44,11 +44,11 @@ def find_hits(located: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFram
         places = located.select(*LOCATOR, w.alias("w")).filter(F.size("w") >= gate).select(*LOCATOR, "w", F.explode(F.sequence(F.lit(0), F.size("w") - gate)).alias("at")).select(*LOCATOR, "w", "at", key.alias("key"))
         own = windows.filter(F.col("gate") == gate).drop("gate")
         hit = places.join(F.broadcast(own) if small else own, "key").filter(F.array_join(F.slice("w", at + 1, F.col("size")), " ") == F.col("gram"))
-        found.append(hit.select(*LOCATOR, (at - lead).alias("at"), "size", "item_ids"))
+        found.append(hit.select(*LOCATOR, (at - lead).alias("at"), "size", "item_ids", word_count(F.col("w")).alias("n_words")))
     if not found:
-        return located.sparkSession.createDataFrame([], located.select(*LOCATOR, F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"))).alias("hits"), F.array(F.lit("")).alias("item_ids")).schema)
+        return located.sparkSession.createDataFrame([], located.select(*LOCATOR, F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"))).alias("hits"), F.array(F.lit("")).alias("item_ids"), F.lit(0).cast("long").alias("n_words")).schema)
     hits = reduce(DataFrame.unionByName, found)
-    return hits.groupBy(*LOCATOR).agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
+    return hits.groupBy(*LOCATOR).agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), F.max("n_words").alias("n_words"))
 
 
 def covered(hits: Column) -> Column:
@@ -69,30 +69,34 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFra
 
 def _judge(located: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     counts = located.select(F.col("doc_id").cast("long").alias("doc_id"), *LOCATOR, word_count(words(F.col("text"))).alias("n_words"))
-    rows = counts.join(find_hits(located, items, n), LOCATOR, "left")
+    rows = counts.join(find_hits(located, items, n).drop("n_words"), LOCATOR, "left")
     n_hit = F.coalesce(covered(F.col("hits")), F.lit(0)).cast("long")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     rows = rows.withColumns({"n_hit": n_hit, "ids": ids})
-    return rows.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), sha256_hex(F.array_join("ids", ",")).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "hits", *LOCATOR)
+    return rows.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), sha256_hex(F.array_join("ids", ",")).alias("items_sha256"), _contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"), "hits", *LOCATOR)
+
+
+def _contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     """docs without contaminated rows; its columns stay."""
     located = with_locator(docs)
-    bad = _judge(located, items, n).filter("contaminated").select(*LOCATOR)
+    bad = find_hits(located, items, n).filter(_contaminated(covered(F.col("hits")), F.col("n_words"))).select(*LOCATOR)
     return located.join(bad, LOCATOR, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     """docs with the hit words, and what stands before each of them since the last word, cut out of text; other columns stay."""
     located = with_locator(docs)
-    hits = find_hits(located, items, n)
+    hits = find_hits(located, items, n).select(*LOCATOR, F.col("hits").alias("__rw_hits"))
     text = or_empty(F.col("text"))
     token = rf"(?:[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)|(?:{NON_WORD}$)"
     tokens = F.regexp_extract_all(text, F.lit(token), F.lit(0))
-    inside = lambda i: F.exists("hits", lambda h: (h["at"] <= i) & (i < h["at"] + h["size"]))
+    inside = lambda i: F.exists("__rw_hits", lambda h: (h["at"] <= i) & (i < h["at"] + h["size"]))
     cut = F.array_join(F.filter(tokens, lambda t, i: ~inside(i)), "")
-    return located.join(hits, LOCATOR, "left").select(*[F.when(F.col("hits").isNotNull(), cut).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return located.join(hits, LOCATOR, "left").select(*[F.when(F.col("__rw_hits").isNotNull(), cut).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

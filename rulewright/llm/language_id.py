@@ -169,7 +169,8 @@ def learn(located: DataFrame, vocabulary: str = VOCABULARY, rows: int = ROWS_PER
     known = located.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("lang", F.col("lang").cast("string"))
     first = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), *LOCATOR)
     drawn = known.select("lang", "doc_id", *LOCATOR).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rows).select(*LOCATOR, "lang")
-    sample = located.select(*LOCATOR, "text").join(drawn, LOCATOR).select("lang", F.col("text").cast("string").alias("text"))
+    # At most rows x MAX_LANGUAGES places: a bounded side.
+    sample = located.select(*LOCATOR, "text").join(F.broadcast(drawn), LOCATOR).select("lang", F.col("text").cast("string").alias("text"))
 
     def count(batches):
         for batch in batches:
@@ -243,10 +244,18 @@ def identify(located: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5, vocabulary: str = VOCABULARY) -> DataFrame:
-    """docs without the rows that have no language or one of too low a score; its columns stay."""
-    located = with_locator(docs)
-    bad = identify(located, learn(located, vocabulary)).filter((F.col("lang_pred") == UND) | (F.col("score") < min_score)).select(*LOCATOR)
-    return located.join(bad, LOCATOR, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the rows that have no language or one of too low a score; its columns stay. Rows pass through one scan, without a shuffle."""
+    model = learn(with_locator(docs), vocabulary)
+
+    def run(batches):
+        scorer = Scorer(model) if model else lambda texts: ([UND] * len(texts), [0.0] * len(texts))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = zip(*scorer(part.column("text").to_pylist()), strict=True)
+                yield part.filter(pa.array([lang != UND and score >= min_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
