@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -18,6 +19,8 @@ from .rules import aggregate, fold_of, rule_frame
 PREFILTER_ROWS = 1_000_000
 #: Tables of rounds are joined up to one after so many.
 COMPACT = 16
+#: Relations of one recursive group that are made at a time.
+JOBS = 8
 
 
 def bind(plan: Plan, relation: str, df: DataFrame, nulls: str = "reject") -> DataFrame:
@@ -122,6 +125,7 @@ class Solver:
             rounds += 1
             fresh: dict[str, Table | None] = {}
             grown: dict[str, int] = {}
+            due: dict[str, list[DataFrame]] = {}
             for n in s.relations:
                 frames = []
                 for r in looping[n]:
@@ -135,7 +139,10 @@ class Solver:
                             return delta[atom.relation].read() if i == at else read_all(every[atom.relation])
 
                         frames.append(rule_frame(self.plan, r, read, first=at))
-                fresh[n], grown[n] = self.unseen(n, frames, every[n], size[n]) if frames else (None, 0)
+                due[n] = frames
+            with ThreadPoolExecutor(JOBS) as jobs:  # the relations of a round don't wait for each other
+                for n, found in zip(due, jobs.map(lambda n: self.unseen(n, due[n], every[n], size[n]) if due[n] else (None, 0), due), strict=True):
+                    fresh[n], grown[n] = found
             for n in s.relations:
                 if fresh[n] is not None:
                     every[n].append(fresh[n])
