@@ -21,7 +21,7 @@ from .common import FILE, LOCATOR, ROW, read_table, with_locator
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bounds of the fit: labelled rows of each language, and distinct words of each that reach the driver.
 ROWS_PER_LANGUAGE, WORDS_PER_LANGUAGE = 300, 20_000
-MAX_LANGUAGES = 1_000
+MAX_LANGUAGES, PARTS = 1_000, 64
 #: A longer run of letters is read as words of this many letters.
 MAX_WORD = 32
 UNKNOWN, FLOOR, CACHE = 1e-7, 1e-8, 300_000
@@ -164,11 +164,16 @@ def held_out(doc_id: Column) -> Column:
 def learn(located: DataFrame, vocabulary: str = VOCABULARY, rows: int = ROWS_PER_LANGUAGE) -> Model | None:
     """From text and lang of the rows that aren't held out and have both; None if there are none.
 
-    Of each language, the rows with the smallest hash of their id are taken, up to rows.
+    Of each language, the rows with the smallest hash of their id and place are taken, up to rows.
     """
     known = located.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("lang", F.col("lang").cast("string"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id"), *LOCATOR)
-    drawn = known.select("lang", "doc_id", *LOCATOR).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rows).select(*LOCATOR, "lang")
+    if known.select("lang").distinct().count() > MAX_LANGUAGES:
+        raise ValueError(f"lang has over {MAX_LANGUAGES} values")
+    # By parts of each language first: what all tasks have kept of a large language meets in many tasks, and in one only what the parts kept.
+    places = known.select("lang", "doc_id", *LOCATOR).withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), *LOCATOR))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id", *LOCATOR))
+    parts = places.withColumn("part", F.pmod("h", F.lit(PARTS))).withColumn("k", first("lang", "part")).filter(F.col("k") <= rows)
+    drawn = parts.drop("k").withColumn("k", first("lang")).filter(F.col("k") <= rows).select(*LOCATOR, "lang")
     # At most rows x MAX_LANGUAGES places: a bounded side.
     sample = located.select(*LOCATOR, "text").join(F.broadcast(drawn), LOCATOR).select("lang", F.col("text").cast("string").alias("text"))
 
@@ -184,8 +189,6 @@ def learn(located: DataFrame, vocabulary: str = VOCABULARY, rows: int = ROWS_PER
     if not found:
         return None
     languages, vocabulary_words = sorted({r.lang for r in found}), sorted({r.word for r in found})
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"lang has over {MAX_LANGUAGES} values")
     counts, li, wi = np.zeros((len(vocabulary_words), len(languages))), {x: i for i, x in enumerate(languages)}, {x: i for i, x in enumerate(vocabulary_words)}
     for r in found:
         counts[wi[r.word], li[r.lang]] = r.n
