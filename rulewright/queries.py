@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulewright.operators import cfg, findings
+from rulewright.operators import findings
 from rulewright.operators.solve import solve
 from rulewright.operators.staged import Stage, run_stages
 from rulewright.plans.syntax import parse
@@ -500,12 +500,8 @@ def q_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.locate(found, lines, declared).select("o", "l", "file", "line")
 
 
-# Flow graphs.
-@query("q_dominators", None)
-def q_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = chain(spark, sf_dir).select(F.lit("f").alias("func"), F.col("x").alias("src"), F.col("y").alias("dst"))
-    return cfg.dominators(edges, spark.createDataFrame([("f", 0)], "func string, entry int"))
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["q_tc"](spark, sf_dir)
+
+
+from rulewright import library_queries  # noqa: E402, F401  registers its queries with the functions above

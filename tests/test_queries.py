@@ -10,3 +10,7 @@ def test_queries_match_sql(spark, sf_dir, same, name):
 
 def test_entry(spark, sf_dir):
     assert entry(spark, sf_dir).count() > 0
+
+
+def test_points_to_has_rows(spark, sf_dir):
+    assert QUERIES["q_points_to"](spark, sf_dir).count() > 0
