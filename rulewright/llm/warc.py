@@ -20,8 +20,8 @@ from .common import FILE, LOCATOR, ROW, drop_table, materialise, or_empty, read_
 MAGIC, GAP = "WARC/1.1\r\n", "\r\n\r\n"
 RECORDS_PER_FILE = 20_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_SCAN = "file string, block long, seq long, local long, size long, length long, whole boolean, kind string, id string, refers string, payload_bytes long, digest string"
-_SCHEMA = pa.schema([("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("local", pa.int64()), ("size", pa.int64()), ("length", pa.int64()), ("whole", pa.bool_()), ("kind", pa.string()), ("id", pa.string()), ("refers", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string())])
+_SCAN = "file long, block long, seq long, local long, size long, length long, whole boolean, kind string, id string, refers string, payload_bytes long, digest string"
+_SCHEMA = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("seq", pa.int64()), ("local", pa.int64()), ("size", pa.int64()), ("length", pa.int64()), ("whole", pa.bool_()), ("kind", pa.string()), ("id", pa.string()), ("refers", pa.string()), ("payload_bytes", pa.int64()), ("digest", pa.string())])
 
 
 def base32_sha1(c: Column) -> Column:
@@ -97,7 +97,8 @@ def parse_record(data: bytes) -> dict | None:
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    """A file goes by a hash of its path: a path in every row would compress to nothing on disk, and rows that seem few would be broadcast."""
+    return spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("value"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
 def _numbered(batches):
@@ -151,7 +152,7 @@ def reachable(rows: DataFrame) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """file, off, kind, id, refers, payload_bytes, digest of every record that the chains reach; a response's digest is that of the payload read."""
+    """file (xxhash64 of its path), off, kind, id, refers, payload_bytes, digest of every record that the chains reach; a response's digest is that of the payload read."""
     rows = candidates(spark, path)
     chain = reachable(rows)
     fields = ["kind", "id", "refers", "payload_bytes", "digest"]
@@ -167,19 +168,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     def number(batches):
         for value, file, block, seq, _ in _numbered(batches):
-            yield pa.RecordBatch.from_pylist([{"file": file, "block": block, "seq": seq, "value": value}], pa.schema([("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("value", pa.binary())]))
+            yield pa.RecordBatch.from_pylist([{"file": file, "block": block, "seq": seq, "value": value}], pa.schema([("file", pa.int64()), ("block", pa.int64()), ("seq", pa.int64()), ("value", pa.binary())]))
 
-    parts = _text(spark, path).mapInArrow(number, "file string, block long, seq long, value binary").join(cut, ["file", "block", "seq"])
+    parts = _text(spark, path).mapInArrow(number, "file long, block long, seq long, value binary").join(cut, ["file", "block", "seq"])
     whole = parts.groupBy("file", "off").agg(F.array_sort(F.collect_list(F.struct("part", "value"))).alias("parts"))
 
     def rebuild(batches):
-        kept = pa.schema([("file", pa.string()), ("off", pa.int64()), *[(n, _SCHEMA.field(n).type) for n in fields]])
+        kept = pa.schema([("file", pa.int64()), ("off", pa.int64()), *[(n, _SCHEMA.field(n).type) for n in fields]])
         for batch in batches:
             for row in batch.to_pylist():
                 got = parse_record(MAGIC.encode().join(p["value"] for p in row["parts"]))
                 yield pa.RecordBatch.from_pylist([{"file": row["file"], "off": row["off"]} | {n: got[n] for n in fields}], kept)
 
-    return records.unionByName(whole.mapInArrow(rebuild, "file string, off long, kind string, id string, refers string, payload_bytes long, digest string"))
+    return records.unionByName(whole.mapInArrow(rebuild, "file long, off long, kind string, id string, refers string, payload_bytes long, digest string"))
 
 
 def pages_of(records: DataFrame) -> DataFrame:
