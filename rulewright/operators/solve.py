@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rulewright.errors import LimitExceeded, MissingRelationError
-from rulewright.plans.analyse import Plan, Stratum, analyse
+from rulewright.plans.analyse import Plan, Stratum, analyse, dependencies
 from rulewright.plans.syntax import Atom, Program, Rule, Var, parse
 from rulewright.sources.shared import Table, read_all
 
@@ -21,6 +21,8 @@ PREFILTER_ROWS = 1_000_000
 COMPACT = 16
 #: Relations of one recursive group that are made at a time.
 JOBS = 8
+#: Nodes of a plan that is read anew at no more cost than that of reading its table.
+_SCANS = {"LogicalRelation", "Relation", "Project", "Filter", "SubqueryAlias", "View"}
 
 
 def bind(plan: Plan, relation: str, df: DataFrame, nulls: str = "reject") -> DataFrame:
@@ -39,6 +41,15 @@ def bind(plan: Plan, relation: str, df: DataFrame, nulls: str = "reject") -> Dat
     return df
 
 
+def _scan(df: DataFrame) -> bool:
+    """True if df only filters and projects one stored table."""
+    def walk(p) -> bool:
+        kids = p.children()
+        return p.nodeName().split(" ")[0] in _SCANS and all(walk(kids.apply(i)) for i in range(kids.size()))
+
+    return walk(df._jdf.queryExecution().analyzed())
+
+
 class Solver:
     """The relations of a plan over bound inputs, each made when it is first asked for."""
 
@@ -53,6 +64,7 @@ class Solver:
         self.tables: list[Table] = []
         self.rounds: dict[str, int] = {}
         self.readers = plan.readers()
+        self.looped = {d for s in plan.strata if s.recursive for n in s.relations for r in plan.rules.get(n, []) for d, _ in dependencies(r)} - {n for s in plan.strata if s.recursive for n in s.relations}
         self.stratum = {n: s for s in plan.strata for n in s.relations}
 
     def outputs(self) -> dict[str, DataFrame]:
@@ -76,7 +88,8 @@ class Solver:
         name = s.relations[0]
         df = self.seed(name, self.plan.rules.get(name, []))
         derived = bool(self.plan.rules.get(name))
-        if derived and (self.readers.get(name, 0) > 1 or name in self.plan.limits):
+        # What every round of a loop reads is made once; a plain scan is as good as a kept copy.
+        if derived and (self.readers.get(name, 0) > 1 or name in self.plan.limits) or name in self.looped and not _scan(df):
             df = df.persist(StorageLevel.MEMORY_AND_DISK)
             self.kept.append(df)
         self.check(name, df.count() if name in self.plan.limits else 0)
@@ -105,7 +118,7 @@ class Solver:
     def table(self, df: DataFrame, name: str) -> tuple[Table, int]:
         t = Table(df, name.replace(".", "-"))
         self.tables.append(t)
-        return t, t.read().count()
+        return t, t.rows
 
     def fixpoint(self, s: Stratum) -> dict[str, DataFrame]:
         group = set(s.relations)

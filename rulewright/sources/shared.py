@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -23,12 +23,14 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Table:
-    """Rows that were written once: reading them again needs no lineage, and counting them only file footers."""
+    """Rows that were written once, and their number, counted as they are written: reading them again needs no lineage."""
 
     def __init__(self, df: DataFrame, tag: str):
         self.spark, self.schema = df.sparkSession, df.schema
         self.path = f"{shared_root(self.spark)}/rulewright/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(self.path)
+        self.rows: int = seen.get["n"]
 
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
