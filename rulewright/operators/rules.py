@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rulewright.errors import ProgramError, SafetyError
 from rulewright.functions.scalar import RANKS, Typed, compile_expression, matches
@@ -64,8 +64,8 @@ class _Scan:
 class _Body:
     """The rows of a rule's body so far, and the types of its bound variables."""
 
-    def __init__(self, plan: Plan):
-        self.plan, self.frame, self.types = plan, None, {}
+    def __init__(self, spark: SparkSession, plan: Plan):
+        self.spark, self.plan, self.frame, self.types = spark, plan, None, {}
 
     def env(self) -> dict[str, Typed]:
         return {v: (F.col(_column(v)), t) for v, t in self.types.items()}
@@ -99,7 +99,7 @@ class _Body:
 
     def bind(self, name: str, node) -> None:
         c, kind = compile_expression(node, self.env())
-        self.frame = self.frame.withColumn(_column(name), c) if self.frame is not None else _one_row().select(c.alias(_column(name)))
+        self.frame = self.frame.withColumn(_column(name), c) if self.frame is not None else _one_row(self.spark).select(c.alias(_column(name)))
         self.types[name] = kind
 
     def test(self, x) -> None:
@@ -117,7 +117,7 @@ class _Body:
             self.keep(_OPS[x.op](a, b))
 
     def keep(self, c: Column) -> None:
-        self.frame = (self.frame if self.frame is not None else _one_row()).filter(c)
+        self.frame = (self.frame if self.frame is not None else _one_row(self.spark)).filter(c)
 
     def settle(self, waiting: list) -> list:
         """Applies all tests, bindings and destructurings that can be applied by now."""
@@ -158,13 +158,11 @@ class _Body:
         return False
 
 
-def _one_row() -> DataFrame:
-    from pyspark.sql import SparkSession
-
-    return SparkSession.getActiveSession().range(1).select(F.lit(1).alias("v_"))
+def _one_row(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.lit(1).alias("v_"))
 
 
-def rule_frame(plan: Plan, rule: Rule, read: Callable[[Atom, int], DataFrame], first: int | None = None) -> DataFrame:
+def rule_frame(spark: SparkSession, plan: Plan, rule: Rule, read: Callable[[Atom, int], DataFrame], first: int | None = None) -> DataFrame:
     """The head's rows, not yet distinct; an aggregated head has its argument in the aggregate's place.
 
     read gives the relation for the body atom at an index; the atom at first is joined first.
@@ -172,7 +170,7 @@ def rule_frame(plan: Plan, rule: Rule, read: Callable[[Atom, int], DataFrame], f
     atoms = [(i, x) for i, x in enumerate(rule.body) if isinstance(x, Atom)]
     negated = [x.atom for x in rule.body if isinstance(x, Not)]
     waiting = [x for x in rule.body if isinstance(x, (Compare, Test))]
-    body = _Body(plan)
+    body = _Body(spark, plan)
     todo = sorted(atoms, key=lambda p: p[0] != first)
     while todo:
         linked = lambda p: len(variables(p[1].args) & body.types.keys())
@@ -189,12 +187,12 @@ def rule_frame(plan: Plan, rule: Rule, read: Callable[[Atom, int], DataFrame], f
         if body.bound(n.args):
             negated.remove(n)
             if body.frame is None:
-                body.frame = _one_row()
+                body.frame = _one_row(spark)
             body.without(_Scan(plan, n, read(n, -1)))
     head = rule.heads[0]
     for x in [*waiting, *negated]:
         raise SafetyError(f"{head.relation}: {', '.join(sorted(variables(x) - body.types.keys()))} has no value")
-    frame, env, out = body.frame if body.frame is not None else _one_row(), body.env(), []
+    frame, env, out = body.frame if body.frame is not None else _one_row(spark), body.env(), []
     for (name, kind), arg in zip(plan.decls[head.relation].columns, head.args, strict=True):
         if isinstance(arg, Wild):
             raise SafetyError(f"{head.relation}: _ in a head has no value")

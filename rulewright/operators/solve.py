@@ -106,7 +106,7 @@ class Solver:
     def seed(self, name: str, rules: list[Rule]) -> DataFrame:
         """What the input, inline facts and rules over earlier strata give, distinct where rules take part."""
         fold = fold_of(rules) if rules else None
-        frames = [rule_frame(self.plan, r, lambda atom, _: self.known[atom.relation]) for r in rules]
+        frames = [rule_frame(self.spark, self.plan, r, lambda atom, _: self.known[atom.relation]) for r in rules]
         if fold:
             frames = [aggregate(self.plan, name, reduce(DataFrame.unionAll, frames), *fold)]
         frames += [x for x in (self.given.get(name), self.inline(name)) if x is not None]
@@ -151,7 +151,7 @@ class Solver:
                                 return self.known[atom.relation]
                             return delta[atom.relation].read() if i == at else read_all(every[atom.relation])
 
-                        frames.append(rule_frame(self.plan, r, read, first=at))
+                        frames.append(rule_frame(self.spark, self.plan, r, read, first=at))
                 due[n] = frames
             with ThreadPoolExecutor(JOBS) as jobs:  # the relations of a round don't wait for each other
                 for n, found in zip(due, jobs.map(lambda n: self.unseen(n, due[n], every[n], size[n]) if due[n] else (None, 0), due), strict=True):

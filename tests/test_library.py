@@ -177,3 +177,10 @@ def test_a_relation_is_all_its_chunks(spark, tmp_path):
     relations.write_by_relation(rows(("a", "x")), f"{tmp_path}/f")
     with pytest.raises(Exception, match="isn't a number"):
         relations.read_relation(spark, f"{tmp_path}/f", plan, "r").collect()
+
+
+def test_rules_without_atoms_in_threads(spark):
+    """Analyses run in threads, which have no active session of their own."""
+    a = extract.Analysis("a", "", '.decl o(x: symbol, n: number)\no("b", strlen("abc")).\no("c", n) :- n = 1 + 1, n < 3.\n.output o', {"o": extract.Output("T", "low", "{n}", "x")})
+    done = extract.run_analyses(spark, [a, a], {})
+    assert tuples(done.findings.select("anchor", "detail")) == [("b", "3"), ("b", "3"), ("c", "2"), ("c", "2")] and not done.degraded
