@@ -4,6 +4,10 @@ Cards (Luhn), phone numbers, social-security numbers, IBANs (mod 97), IPv4 addre
 credentials are found in whole texts. The characters that carry a value are permuted by a Feistel network keyed by a secret
 and the kind; separators, check digits and ranges are kept valid, by walking the cycle where a range is no power. The permutation depends on the
 value alone, so equal values stay linked across documents, however they are spaced. All of it is one projection of JVM expressions.
+
+Cards, IBANs and phone numbers with other country codes are tried from each start and at each admissible length, and only valid ones take part in the scan: the
+leftmost first, then the longest. A phone number without +1 or brackets whose area code or exchange starts with 0 or 1 needs
+dots or hyphens, as three numbers between spaces are mostly no phone number.
 """
 
 from __future__ import annotations
@@ -13,22 +17,25 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import or_empty, read_table
 
 KEY = "rulewright"
-ROUNDS, WALK, CHUNK = 8, 48, 16
+ROUNDS, WALK, CHUNK, SLICE = 8, 48, 16, 64
 DAY_ZERO, DAYS, SIDE = "1900-01-01", 73_049, 271
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 ACCESS_KEY = r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
-SECRET = r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?=[A-Za-z]{0,63}[0-9])[0-9A-Za-z]{12,64}(?![0-9A-Za-z])"
+_SECRET_HEAD = r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)"
+SECRET = _SECRET_HEAD + r"(?=[A-Za-z_+/=-]*+[0-9])[0-9A-Za-z_+/=-]{12,}+"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
 IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DATE = r"(?<![0-9/.])[0-9]{2}([/.])[0-9]{2}\1[0-9]{4}(?![0-9/]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9A-Za-z+])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
+PHONE = r"(?<![0-9A-Za-z+])(?:\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[2-9][0-9]{2}[ .-][2-9][0-9]{2}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"
 WORLD_PHONE = r"(?<![0-9A-Za-z+])\+[2-9][0-9](?:[ .-]?\(?[0-9]{2,5}\)?){2,5}(?![0-9])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 KINDS = {"email": EMAIL, "access_key": ACCESS_KEY, "secret": SECRET, "iban": IBAN, "ip": IPV4, "date": ISO_DATE, "day_date": DAY_DATE.replace(r"\1", "[/.]").replace("([/.])", "[/.]"), "ssn": SSN, "phone": PHONE, "world_phone": WORLD_PHONE, "card": CARD}
-ANY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: The kinds whose finds are listed for each text, as valid ones can't be told by a pattern.
+LISTED = ("iban", "world_phone", "card")
+CARD_LENGTHS, IBAN_LENGTHS, WORLD_LENGTHS = range(19, 12, -1), range(35, 11, -1), range(15, 7, -1)
 
 
 def _draw(key: str, tweak: Column | str, i: Column, text: Column) -> Column:
@@ -107,23 +114,29 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    body = F.regexp_extract(m, "([0-9A-Za-z]+)$", 1)
+    """In slices of SLICE characters, as put_back takes the square of a length."""
+    body = F.regexp_extract(m, _SECRET_HEAD + "([0-9A-Za-z_+/=-]+)$", 1)
     head = F.substr(m, F.lit(1), F.length(m) - F.length(body))
-    return F.concat(head, F.when(body.rlike("^[0-9a-f]+$"), _alnum(body, "hex", key, 16)).otherwise(_alnum(body, "secret", key)))
+    slices = lambda kind, radix: F.array_join(F.transform(F.regexp_extract_all(body, F.lit(f".{{1,{SLICE}}}"), F.lit(0)), lambda x: _alnum(x, kind, key, radix)), "")
+    return F.concat(head, F.when(body.rlike("^[0-9a-f_+/=-]+$"), slices("hex", 16)).otherwise(slices("secret", 36)))
 
 
 def _access_key(m: Column, key: str) -> Column:
     return F.concat(F.substr(m, F.lit(1), F.lit(4)), _alnum(F.substr(m, F.lit(5), F.lit(16)), "access_key", key))
 
 
+def _is_iban(m: Column) -> Column:
+    flat = F.replace(m, F.lit(" "), F.lit(""))
+    return mod97(F.concat(F.substr(flat, F.lit(5), F.length(flat)), F.substr(flat, F.lit(1), F.lit(4)))) == 1
+
+
 def _iban(m: Column, key: str) -> Column:
     flat = F.replace(m, F.lit(" "), F.lit(""))
     bank = F.substr(flat, F.lit(5), F.length(flat))
     country = F.substr(flat, F.lit(1), F.lit(2))
-    valid = mod97(F.concat(bank, F.substr(flat, F.lit(1), F.lit(4)))) == 1
     new = put_back(bank, permute(digits(bank), 10, "iban", key), "0-9")
     check = F.lpad((98 - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when(valid, put_back(m, F.concat(country, check, new), "0-9A-Z"))
+    return F.when(_is_iban(m), put_back(m, F.concat(country, check, new), "0-9A-Z"))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -171,7 +184,8 @@ def _ssn(m: Column, key: str) -> Column:
 def _phone(m: Column, key: str) -> Column:
     d = digits(m)
     own = F.substr(d, F.length(d) - 9, F.lit(10))
-    new = walk(own, lambda x: feistel(x, 10, "phone", key), lambda x: x.rlike("^[2-9]..[2-9]"))
+    usual = lambda x: x.rlike("^[2-9]..[2-9]")
+    new = walk(own, lambda x: feistel(x, 10, "phone", key), lambda x: usual(x) == usual(own))
     return put_back(m, F.concat(F.substr(d, F.lit(1), F.length(d) - 10), new), "0-9")
 
 
@@ -180,13 +194,18 @@ def _world_phone(m: Column, key: str) -> Column:
     return F.when(F.length(d).between(8, 15), put_back(m, F.concat(F.substr(d, F.lit(1), F.lit(2)), feistel(F.substr(d, F.lit(3), F.length(d)), 10, "phone", key)), "0-9"))
 
 
+def _is_card(m: Column) -> Column:
+    d = digits(m)
+    return (luhn(d) == 0) & ~d.rlike("^(.)\\1+$")
+
+
 def _card(m: Column, key: str) -> Column:
     d = digits(m)
     n = F.length(d)
     middle = feistel(F.substr(d, F.lit(2), n - 2), 10, "card", key)
     body = F.concat(F.substr(d, F.lit(1), F.lit(1)), middle)
     check = ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string")
-    return F.when((luhn(d) == 0) & ~d.rlike("^(.)\\1+$"), put_back(m, F.concat(body, check), "0-9"))
+    return F.when(_is_card(m), put_back(m, F.concat(body, check), "0-9"))
 
 
 _HANDLERS = {"email": _email, "access_key": _access_key, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "day_date": _day_date, "ssn": _ssn, "phone": _phone, "world_phone": _world_phone, "card": _card}
@@ -204,6 +223,33 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return F.struct(kind.alias("kind"), out.alias("out"))
 
 
+def _listed(text: Column, start: str, pattern: str, prefixes: list[str], valid) -> Column:
+    """The valid finds of pattern's shape from each start in text at each length, the longest first."""
+    longest = F.array_distinct(F.regexp_extract_all(text, F.lit(f"{start}(?=({pattern.removeprefix(start)}))"), F.lit(1)))
+    each = F.flatten(F.transform(longest, lambda m: F.array(*(F.regexp_extract(m, f"^({p})", 1) for p in prefixes))))
+    found = F.filter(F.array_distinct(F.filter(each, lambda x: x != "")), valid)
+    return F.array_sort(found, lambda a, b: F.length(b) - F.length(a))
+
+
+def _scan(text: Column) -> Column:
+    """The pattern of all finds of text; those of LISTED kinds stand in it one by one."""
+    cards = [rf"[0-9](?:[ -]?[0-9]){{{n - 1}}})(?![0-9]" for n in CARD_LENGTHS]
+    ibans = [rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9A-Z]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[0-9A-Z]{{{n % 4}}}" if n % 4 else "") + r")(?![0-9A-Za-z]" for n in IBAN_LENGTHS]
+    phones = [rf"\+[0-9](?:[ .()-]{{0,3}}[0-9]){{{n - 1}}}\)?)(?![0-9]" for n in WORLD_LENGTHS]
+    is_phone = lambda x: x.rlike(f"^(?:{WORLD_PHONE})$")
+    edges = {"iban": ("(?<![0-9A-Za-z])", "(?![0-9A-Za-z])"), "world_phone": ("(?<![0-9A-Za-z+])", "(?![0-9])"), "card": ("(?<![0-9])", "(?![0-9])")}
+    how = {"iban": (ibans, _is_iban), "world_phone": (phones, is_phone), "card": (cards, _is_card)}
+    lists = {k: _listed(text, edges[k][0], KINDS[k], *how[k]) for k in LISTED}
+    parts = []
+    for kind, pattern in KINDS.items():
+        if kind in LISTED:
+            one_of = F.concat(F.lit(f"{edges[kind][0]}(?:"), F.array_join(F.transform(lists[kind], lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))), "|"), F.lit(f"){edges[kind][1]}"))
+            parts.append(F.when(F.size(lists[kind]) > 0, one_of))
+        else:
+            parts.append(F.lit(f"(?:{pattern})"))
+    return F.concat_ws("|", *parts)
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs' columns with text pseudonymised, and n_pii and kinds (sorted, one of each).
 
@@ -212,8 +258,9 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_pii", "kinds")]
     gate = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
-    found, gaps = F.regexp_extract_all(F.col("text"), F.lit(ANY), F.lit(0)), F.split(F.col("text"), ANY)
-    rows = docs.select(*others, "text", F.when(gate, found).otherwise(F.array().cast("array<string>")).alias("__rw_found"))
+    docs = docs.select(*others, "text", F.when(gate, _scan(F.col("text"))).alias("__rw_scan"))
+    found, gaps = F.regexp_extract_all(F.col("text"), F.col("__rw_scan"), F.lit(0)), F.split(F.col("text"), F.col("__rw_scan"))
+    rows = docs.select(*others, "text", "__rw_scan", F.when(gate, found).otherwise(F.array().cast("array<string>")).alias("__rw_found"))
     rows = rows.withColumn("__rw_new", F.transform("__rw_found", lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p"))))
     valid = F.filter("__rw_new", lambda x: x["p"]["out"].isNotNull())
     pieces = F.transform(F.arrays_zip(gaps.alias("gap"), F.col("__rw_new").alias("new")), lambda x: F.concat(x["gap"], F.coalesce(x["new"]["p"]["out"], x["new"]["m"], F.lit(""))))

@@ -169,6 +169,30 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert pii.pseudonymise(edge.empty(spark)).count() == 0
 
 
+def test_pseudonyms_of_finds_inside_longer_ones(spark):
+    long = "abcdefgh1" * 9
+    private = {
+        60: ("card 4111 1111 1111 1111 05/27", "4111 1111 1111 1111"),
+        61: ("4111-1111-1111-1111 123", "4111-1111-1111-1111"),
+        62: ("12 4111 1111 1111 1111", "1111 1111 1111"),
+        63: ("123456 4111 1111 1111 1111", "4111 1111 1111 1111"),
+        64: ("BE68 5390 0754 7034 PAID", "5390 0754 7034"),
+        65: (f"token={long}", long),
+        66: ("password: ab_cd-12efgh_34", "ab_cd-12efgh_34"),
+        67: ("call +12125551234 now", "2125551234"),
+        68: ("tel 055-123-4567", "055-123-4567"),
+        69: ("+44 20 7946 0958 12345 12345", "7946 0958"),
+        70: ("12 988-555-2485 1234", "988-555-2485"),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in private.items()], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    assert [i for i, (_, x) in private.items() if x in out[i].text or out[i].n_pii != 1] == []
+    shape = lambda t: re.sub("[0-9]", "9", t)
+    assert all(shape(out[i].text) == shape(private[i][0]) for i in (60, 61, 62, 63, 64, 67, 68, 69, 70))
+    assert luhn(re.sub(r"\D", "", out[60].text[5:24])) == 0 and out[60].text.endswith(" 05/27")
+    assert len(out[65].text) == len(private[65][0]) and re.fullmatch("password: .._..-.{6}_..", out[66].text)
+
+
 def test_feistel_is_a_permutation(spark):
     for n in (1, 2, 3):
         df = spark.range(10**n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("s"))
