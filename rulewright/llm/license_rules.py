@@ -1,6 +1,7 @@
 """Signature rules for licenses, written over a text's lower-case words joined by single spaces.
 
-A line is: label | kind | keyword | pattern. The keyword must stand in the text as a word before the pattern is tried. Kinds, from the
+A line is: label | kind | keyword | pattern. The keyword must stand in the text as a word before the pattern is tried, so it is a word of all that the pattern
+fits, or other lines have what is left. Kinds, from the
 strongest: text (wording of a license), tag (a machine-readable identifier), notice (a grant by name), url, name
 (a mention), hint. The order of lines breaks ties.
 """
@@ -18,10 +19,8 @@ mit | text | merge | to use copy modify merge publish distribute sublicense and
 mit | text | copyright | the above copyright notice and this permission notice shall be included in all copies or substantial portions
 mit | tag | spdx | spdx license identifier mit
 mit | tag | license | license (?:file |id |identifier )?mit
-mit | notice | licensed | {G}mit
-mit | notice | released | {G}mit licen[cs]e
-mit | notice | distributed | {G}mit licen[cs]e
-mit | notice | available | {G}mit licen[cs]e
+mit | notice | mit | {G}mit
+mit | notice | mit | {G}mit licen[cs]e
 mit | url | opensource | opensource org licen[cs]es? (?:php )?mit
 mit | url | mit | mit licen[cs]e (?:org|com)
 mit | url | choosealicense | choosealicense com licenses mit
@@ -193,7 +192,7 @@ sspl-1.0 | tag | spdx | spdx license identifier sspl 1 0
 sspl-1.0 | name | server | server side public licen[cs]e
 sspl-1.0 | name | sspl | sspl(?: v ?1)?
 zlib | text | misrepresented | the origin of this software must not be misrepresented
-zlib | text | freely | permission is granted to anyone to use this software for any purpose including commercial applications
+zlib | text | permission | permission is granted to anyone to use this software for any purpose including commercial applications
 zlib | tag | spdx | spdx license identifier zlib(?: acknowledgement)?
 zlib | name | zlib | zlib(?: libpng)? licen[cs]e
 libpng | tag | spdx | spdx license identifier libpng(?: 2 0)?
@@ -269,7 +268,7 @@ odbl-1.0 | name | odbl | odbl
 odc-by-1.0 | name | odc | odc by(?: 1 0)?
 odc-by-1.0 | name | commons | open data commons attribution licen[cs]e
 pddl-1.0 | name | pddl | pddl(?: 1 0)?
-python-2.0 | text | python | psf hereby grants licensee a nonexclusive royalty free world wide license
+python-2.0 | text | psf | psf hereby grants licensee a nonexclusive royalty free world wide license
 python-2.0 | tag | spdx | spdx license identifier (?:python 2 0|psf 2 0)
 python-2.0 | name | python | python software foundation licen[cs]e
 python-2.0 | name | psf | psf licen[cs]e
@@ -334,7 +333,8 @@ hippocratic | name | hippocratic | hippocratic licen[cs]e
 proprietary | text | prior | (?:no part of this|may not be reproduced).{1,160}?without (?:the )?prior (?:written )?permission
 proprietary | notice | rights | all rights reserved
 proprietary | notice | confidential | proprietary and confidential
-proprietary | name | eula | (?:end user licen[cs]e agreement|eula)
+proprietary | name | user | end user licen[cs]e agreement
+proprietary | name | eula | eula
 unknown-license | hint | license | see (?:the )?(?:file )?license(?: file| txt| md)? for
 unknown-license | hint | licensed | licensed under
 unknown-license | hint | license | license agreement

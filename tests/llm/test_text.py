@@ -98,6 +98,21 @@ def test_licenses(spark, tmp_path):
     assert license_scan.scan_licenses(edge.empty(spark)).count() == 0
 
 
+def test_keywords_drop_no_license(spark):
+    texts = {
+        40: ("Released under MIT", "mit"),
+        41: ("published under the mit license", "mit"),
+        42: ("covered by the MIT licence", "mit"),
+        43: ("Permission is granted to anyone to use this software for any purpose, including commercial applications", "zlib"),
+        44: ("PSF hereby grants Licensee a nonexclusive, royalty-free, world-wide license", "python-2.0"),
+        45: ("End User License Agreement", "proprietary"),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    finds = {r.doc_id: repr(r.finds) for r in license_scan.scan_licenses(df).collect()}
+    assert [i for i, (_, label) in texts.items() if f"'{label}'" not in finds[i]] == []
+    assert all("0.95" in finds[i] for i in (40, 41, 42))
+
+
 def test_license_rules_are_many_and_sound():
     assert len(license_rules.rules()) > 300
     assert all(re.compile(r.pattern) for r in license_rules.rules())
