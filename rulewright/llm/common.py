@@ -54,8 +54,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_MARKED: set[str] = set()
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{checkpoint_root(spark)}/rulewright/{tag}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder, which is deleted when the driver's JVM ends."""
+    own = f"{checkpoint_root(spark)}/rulewright/{spark.sparkContext.applicationId}"
+    if own not in _MARKED:
+        _MARKED.add(own)
+        fs, at = _file_system(spark, own)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+    return f"{own}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -72,10 +82,25 @@ def drop_table(df: DataFrame) -> None:
     delete_path(df.sparkSession, df._rw_path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """The full paths in a folder; none where there is no such folder."""
+    fs, at = _file_system(spark, path)
+    return sorted(s.getPath().toString() for s in fs.listStatus(at)) if fs.exists(at) else []
 
 
 def _plain_scan(df: DataFrame) -> bool:
