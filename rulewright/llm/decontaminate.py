@@ -2,7 +2,8 @@
 
 Each window of a benchmark item is keyed by a hash of its first words. Documents' positions are hashed the same way
 and probe the set in one generated pass; a hit is verified word by word. Only hits are shuffled. The set is
-broadcast while its measured size is within MAX_BROADCAST_WINDOWS, else the join is left to Spark.
+broadcast while its measured size is within MAX_BROADCAST_WINDOWS. Beyond that windows are keyed by all of their
+words, positions are shuffled as key and place alone, and what meets is verified against the texts afterwards.
 """
 
 from __future__ import annotations
@@ -17,37 +18,43 @@ WINDOW, GATE = 13, 4
 MAX_BROADCAST_WINDOWS = 1_000_000
 
 
+def _key(word, gate: int) -> Column:
+    """Of the gate words that word(0), word(1) and so on give."""
+    return F.xxhash64(F.lit(gate), *(word(k) for k in range(gate)))
+
+
 def benchmark_windows(items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """gram (words joined by a space), size, gate (words hashed), key, item_ids: distinct windows; null text and items without words have none."""
+    """gram (its words), size, item_ids: distinct windows; null text and items without words have none. Items without an id go by the empty name."""
     w = F.filter(words(F.col("text")), lambda x: x != "")
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)))
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), w.alias("w")).filter(F.size("w") > 0)
-    grams = rows.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, n))).alias("g"))
-    size = F.size("g")
-    gate = F.least(size, F.lit(GATE))
-    cases = [(gate == k, F.xxhash64(*(F.get("g", F.lit(i)) for i in range(k)))) for k in range(1, GATE + 1)]
-    key = reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0]))
-    return grams.groupBy(F.array_join("g", " ").alias("gram"), size.alias("size"), gate.alias("gate"), key.alias("key")).agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    rows = items.select(or_empty(F.col("item_id")).alias("item_id"), w.alias("w")).filter(F.size("w") > 0)
+    grams = rows.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i + 1, n))).alias("gram"))
+    return grams.groupBy("gram").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")).withColumn("size", F.size("gram"))
 
 
 def find_hits(located: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     """Per row of located that has any: its locator, hits (sorted struct at, size: word positions), item_ids and n_words."""
     windows = materialise(benchmark_windows(items, n), "windows")
-    small = windows.count() <= MAX_BROADCAST_WINDOWS
-    gates = sorted(r[0] for r in windows.select("gate").distinct().collect())
+    sizes = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small = sum(sizes.values()) <= MAX_BROADCAST_WINDOWS
+    most = GATE if small else n
+    gates = sorted({min(k, most) for k in sizes})
+    cases = [(F.least("size", F.lit(most)) == g, _key(lambda k: F.get("gram", F.lit(k)), g)) for g in gates]
+    keyed = windows.withColumn("key", reduce(lambda c, x: c.when(*x), cases[1:], F.when(*cases[0])) if cases else F.lit(0).cast("long"))
     w = words(F.col("text"))
     lead = (F.get("w", F.lit(0)) == "").cast("int")
-    found = []
-    for gate in gates:
-        at = F.col("at")
-        key = F.xxhash64(*(F.get("w", at + k if k else at) for k in range(gate)))
-        places = located.select(*LOCATOR, w.alias("w")).filter(F.size("w") >= gate).select(*LOCATOR, "w", F.explode(F.sequence(F.lit(0), F.size("w") - gate)).alias("at")).select(*LOCATOR, "w", "at", key.alias("key"))
-        own = windows.filter(F.col("gate") == gate).drop("gate")
-        hit = places.join(F.broadcast(own) if small else own, "key").filter(F.array_join(F.slice("w", at + 1, F.col("size")), " ") == F.col("gram"))
-        found.append(hit.select(*LOCATOR, (at - lead).alias("at"), "size", "item_ids", word_count(F.col("w")).alias("n_words")))
-    if not found:
-        return located.sparkSession.createDataFrame([], located.select(*LOCATOR, F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("size"))).alias("hits"), F.array(F.lit("")).alias("item_ids"), F.lit(0).cast("long").alias("n_words")).schema)
-    hits = reduce(DataFrame.unionByName, found)
+    at = F.col("at")
+    keys = [F.when(at + g <= F.size("w"), _key(lambda k: F.get("w", at + k), g)) for g in gates] or [F.lit(None).cast("long")]
+    shortest = gates[0] if gates else n
+    places = located.select(*LOCATOR, w.alias("w")).filter(F.size("w") >= shortest).select(*LOCATOR, "w", F.explode(F.sequence(F.lit(0), F.size("w") - shortest)).alias("at"))
+    places = places.select(*LOCATOR, "w", "at", keys[0].alias("key")) if len(keys) == 1 else places.select(*LOCATOR, "w", "at", F.explode(F.array(*keys)).alias("key"))
+    same = F.slice("w", at + 1, F.col("size")) == F.col("gram")
+    if small:
+        hits = places.join(F.broadcast(keyed), "key").filter(same)
+    else:
+        met = places.select(*LOCATOR, "at", "key").filter("key is not null").join(keyed, "key").select(*LOCATOR, "at", "size", "gram", "item_ids")
+        hits = met.join(located.select(*LOCATOR, w.alias("w")), LOCATOR).filter(same)
+    hits = hits.select(*LOCATOR, (at - lead).alias("at"), "size", "item_ids", word_count(F.col("w")).alias("n_words"))
     return hits.groupBy(*LOCATOR).agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), F.max("n_words").alias("n_words"))
 
 
@@ -81,22 +88,40 @@ def _contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
-    """docs without contaminated rows; its columns stay."""
+    """docs of which no window of items is left; its columns stay.
+
+    A row goes if it holds a whole window of n words, however long it is, or if a twentieth of its words are hit.
+    The windows of items of fewer words are cut out of the other rows; a row in which the cuts have joined up another
+    window goes too. Rows without hits stay as they are, null and empty texts and every row where items is empty or without
+    texts among them. Items without an id count like any others.
+    """
     located = with_locator(docs)
-    bad = find_hits(located, items, n).filter(_contaminated(covered(F.col("hits")), F.col("n_words"))).select(*LOCATOR)
-    return located.join(bad, LOCATOR, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    found = materialise(find_hits(located, items, n), "hits")
+    bad = F.exists("hits", lambda h: h["size"] >= n) | _contaminated(covered(F.col("hits")), F.col("n_words"))
+    clean = located.join(found.select(*LOCATOR), LOCATOR, "left_anti").select(*own)
+    few = found.filter(~bad)
+    if few.isEmpty():
+        return clean
+    rest = materialise(_cut(located.join(few.select(*LOCATOR, F.col("hits").alias("__rw_hits")), LOCATOR), docs.columns), "cut")
+    again = with_locator(rest)
+    return clean.unionByName(again.join(find_hits(again, items, n).select(*LOCATOR), LOCATOR, "left_anti").select(*own))
+
+
+def _cut(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """columns of rows, text without the words inside __rw_hits (null: no hits)."""
+    token = rf"(?:[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)|(?:{NON_WORD}$)"
+    tokens = F.regexp_extract_all(or_empty(F.col("text")), F.lit(token), F.lit(0))
+    inside = lambda i: F.exists("__rw_hits", lambda h: (h["at"] <= i) & (i < h["at"] + h["size"]))
+    cut = F.array_join(F.filter(tokens, lambda t, i: ~inside(i)), "")
+    return rows.select(*[F.when(F.col("__rw_hits").isNotNull(), cut).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns])
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = WINDOW) -> DataFrame:
     """docs with the hit words, and what stands before each of them since the last word, cut out of text; other columns stay."""
     located = with_locator(docs)
     hits = find_hits(located, items, n).select(*LOCATOR, F.col("hits").alias("__rw_hits"))
-    text = or_empty(F.col("text"))
-    token = rf"(?:[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)|(?:{NON_WORD}$)"
-    tokens = F.regexp_extract_all(text, F.lit(token), F.lit(0))
-    inside = lambda i: F.exists("__rw_hits", lambda h: (h["at"] <= i) & (i < h["at"] + h["size"]))
-    cut = F.array_join(F.filter(tokens, lambda t, i: ~inside(i)), "")
-    return located.join(hits, LOCATOR, "left").select(*[F.when(F.col("__rw_hits").isNotNull(), cut).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return _cut(located.join(hits, LOCATOR, "left"), docs.columns)
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +142,7 @@ p AS (
   FROM d, sizes, unnest(generate_series(1, len(w) - size + 1)) AS u(i)),
 hit AS (SELECT p.doc_id, p.i, p.size, g.item_id FROM p JOIN g ON p.gram = g.gram AND p.size = g.size),
 pos AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM hit, unnest(generate_series(i, i + size - 1)) AS u(k) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hit) GROUP BY doc_id)
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') AS item_id FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
