@@ -3,9 +3,9 @@
 Lines are folded to (128-bit hash, smallest and largest document, count) with partial aggregation in every task. The hashes
 of lines that occur in several documents are dealt to shards; each shard holds a minimal perfect hash (levels of
 collision-free bits) that indexes a fingerprint array, a count array and an array of the document that keeps the
-line. Documents send line hashes, salted so that one very common line spreads over many tasks, to the shards and get
-back the places to drop: lines themselves are never joined. A probe streams through a shard, so memory is that of one
-shard's arrays.
+line. Documents send line hashes to the shards and get back the places to drop: lines themselves are never joined. A shard whose
+lines are many for its size, by their counts, is copied so that one very common line spreads over many tasks; the others are
+sent once. A probe streams through a shard, so memory is that of one shard's arrays.
 """
 
 from __future__ import annotations
@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import FILE, LOCATOR, ROW, WHITE, lower_ascii, materialise, or_empty, read_table, sha256_hex, with_locator
 
-MIN_POINTS, SALTS, PER_SHARD = 10, 16, 250_000
+MIN_POINTS, MIN_COPIES, PER_SHARD = 10, 2, 250_000
+#: A copy of a shard is for at least so many lines, and so many for each line that it holds.
+PER_COPY, PER_KEY = 16_384, 4
+MAX_BROADCAST_SHARDS = 500_000
 LAST = (1 << 63) - 1
 
 
@@ -96,12 +99,12 @@ class LineIndex:
         z = np.load(io.BytesIO(data))
         return cls(int(z["seed"]), [z[f"l{i}"] for i in range(sum(k[0] == "l" for k in z.files))], z["prints"], z["counts"], z["keepers"])
 
-    def elsewhere(self, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """True for each line that is in and that another document keeps."""
+    def elsewhere(self, h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, min_copies: int = MIN_COPIES) -> np.ndarray:
+        """True for each line that is in, occurs so often, and that another document keeps."""
         if not len(self.prints):
             return np.zeros(len(h1), bool)
         at = self.hash(self.key(self.seed, h1, h2))
-        return (at >= 0) & (self.prints[at] == h2) & (self.keepers[at] != doc)
+        return (at >= 0) & (self.prints[at] == h2) & (self.counts[at] >= min_copies) & (self.keepers[at] != doc)
 
 
 def line_key(line: Column) -> Column:
@@ -116,24 +119,28 @@ def _lines(located: DataFrame, min_points: int) -> DataFrame:
 
 
 def build_index(lines: DataFrame, per_shard: int = PER_SHARD) -> tuple[DataFrame, int]:
-    """shard, index (bytes of a LineIndex); and the number of shards."""
+    """shard, copies (how many of it its lines' counts ask for), index (bytes of a LineIndex); and the number of shards."""
     repeated = lines.groupBy("h1", "h2").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).filter("keeper < last").drop("last")
     repeated = materialise(repeated, "repeated-lines")
     shards = max(16, -(-repeated.count() // per_shard))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         index = LineIndex.build(pdf["h1"].to_numpy().view(np.uint64), pdf["h2"].to_numpy().view(np.uint64), pdf["n"].to_numpy(), pdf["keeper"].to_numpy())
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "index": [index.to_bytes()]})
+        copies = -(-int(pdf["n"].sum()) // max(PER_COPY, PER_KEY * len(pdf)))
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "copies": [copies], "index": [index.to_bytes()]})
 
     shard = F.pmod("h1", F.lit(shards)).cast("int")
-    return materialise(repeated.withColumn("shard", shard).groupBy("shard").applyInPandas(build, "shard int, index binary"), "line-index"), shards
+    return materialise(repeated.withColumn("shard", shard).groupBy("shard").applyInPandas(build, "shard int, copies int, index binary"), "line-index"), shards
 
 
-def probe(lines: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """Locator and pos of every line that a smaller document keeps."""
+def probe(lines: DataFrame, index: DataFrame, shards: int, min_copies: int = MIN_COPIES) -> DataFrame:
+    """Locator and pos of every line that occurs so often and that a smaller document keeps."""
     none = lambda kind: F.lit(None).cast(kind)
-    ask = lines.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64(*LOCATOR, "pos"), F.lit(SALTS)).cast("int").alias("salt"), "h1", "h2", "doc", *LOCATOR, "pos", none("binary").alias("index"))
-    give = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), *(none(k).alias(c) for c, k in (("h1", "long"), ("h2", "long"), ("doc", "long"), (FILE, "long"), (ROW, "long"), ("pos", "int"))), "index")
+    copies = index.select("shard", "copies")
+    salt = F.pmod(F.xxhash64(*LOCATOR, "pos"), F.col("copies")).cast("int").alias("salt")
+    asked = lines.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")).join(F.broadcast(copies) if shards <= MAX_BROADCAST_SHARDS else copies, "shard")
+    ask = asked.select("shard", salt, "h1", "h2", "doc", *LOCATOR, "pos", none("binary").alias("index"))
+    give = index.select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), *(none(k).alias(c) for c, k in (("h1", "long"), ("h2", "long"), ("doc", "long"), (FILE, "long"), (ROW, "long"), ("pos", "int"))), "index")
 
     def run(batches):
         at, own = None, None
@@ -151,23 +158,25 @@ def probe(lines: DataFrame, index: DataFrame, shards: int) -> DataFrame:
                 if own is None or not part.num_rows:
                     continue
                 h1, h2, doc = (part.column(c).to_numpy() for c in ("h1", "h2", "doc"))
-                drop = pa.array(own.elsewhere(h1.view(np.uint64), h2.view(np.uint64), doc))
+                drop = pa.array(own.elsewhere(h1.view(np.uint64), h2.view(np.uint64), doc, min_copies))
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(drop) for c in (*LOCATOR, "pos")], [*LOCATOR, "pos"])
 
     dealt = ask.unionByName(give).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("index").isNull())
     return dealt.mapInArrow(run, f"{FILE} long, {ROW} long, pos int")
 
 
-def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_copies: int = MIN_COPIES) -> DataFrame:
     """doc_id, locator, n_lines, n_dropped and kept (the text that stays) of every row.
 
+    Lines of fewer occurrences than min_copies stay everywhere.
+
     Null and empty texts have one empty line, which stays. Rows that share an id are one document, and so are
     those without an id, which come last: repeated lines within one document stay. An empty table gives no rows.
     """
     located = with_locator(docs)
     lines = _lines(located, min_points)
     index, shards = build_index(lines)
-    drops = probe(lines, index, shards).groupBy(*LOCATOR).agg(F.collect_list("pos").alias("drops"))
+    drops = probe(lines, index, shards, min_copies).groupBy(*LOCATOR).agg(F.collect_list("pos").alias("drops"))
     own = F.split(or_empty(F.col("text")), "\n")
     rows = located.select(F.col("doc_id").cast("long").alias("doc_id"), *LOCATOR, "text").join(drops, LOCATOR, "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))
