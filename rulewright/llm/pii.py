@@ -2,10 +2,11 @@
 
 Cards (Luhn), phone numbers, social-security numbers, IBANs (mod 97), IPv4 addresses, dates, e-mail addresses and
 credentials are found in whole texts. The characters that carry a value are permuted by a Feistel network keyed by a secret
-and the kind; separators, check digits and ranges are kept valid, by walking the cycle where a range is no power. The permutation depends on the
-value alone, so equal values stay linked across documents, however they are spaced. All of it is one projection of JVM expressions.
+and the kind; separators, check digits, ranges and each letter's case are kept, by walking the cycle where a range is no power. The permutation depends on the
+value alone, so equal values stay linked across documents, however they are spaced, and different ones stay apart. All of it is one projection of JVM expressions.
+The key comes from the caller: whoever has it can undo the pseudonyms.
 
-Cards, IBANs and phone numbers with other country codes are tried from each start and at each admissible length, and only valid ones take part in the scan: the
+Card numbers start with 2 to 6, as those of all issuers do. Cards, IBANs and phone numbers with other country codes are tried from each start and at each admissible length, and only valid ones take part in the scan: the
 leftmost first, then the longest. A phone number without +1 or brackets whose area code or exchange starts with 0 or 1 needs
 dots or hyphens, as three numbers between spaces are mostly no phone number.
 """
@@ -16,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import or_empty, read_table
 
-KEY = "rulewright"
+#: Of the registered query alone, whose results must be the same everywhere. It protects nothing.
+QUERY_KEY = "public key of op9_pii_pseudonyms"
 ROUNDS, WALK, CHUNK, SLICE = 8, 48, 16, 64
 DAY_ZERO, DAYS, SIDE = "1900-01-01", 73_049, 271
 
@@ -25,7 +27,9 @@ ACCESS_KEY = r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
 _SECRET_HEAD = r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)"
 SECRET = _SECRET_HEAD + r"(?=[A-Za-z_+/=-]*+[0-9])[0-9A-Za-z_+/=-]{12,}+"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"
-IPV4 = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
+#: Four numbers after one of these words are a version, not an address.
+VERSION = r"(?<!(?i:\b(?:version|release|build|ver|v)[ .:=]{0,2}))"
+IPV4 = VERSION + r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DATE = r"(?<![0-9/.])[0-9]{2}([/.])[0-9]{2}\1[0-9]{4}(?![0-9/]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
@@ -61,10 +65,11 @@ def feistel(s: Column, radix: int, tweak: Column | str, key: str) -> Column:
     return F.when(F.length(s) == 0, s).when(F.length(s) == 1, one).otherwise(many)
 
 
-def permute(s: Column, radix: int, kind: str, key: str) -> Column:
+def permute(s: Column, radix: int, kind: Column | str, key: str) -> Column:
     """Of any length, CHUNK characters at a time."""
+    kind = kind if isinstance(kind, Column) else F.lit(kind)
     chunks = F.sequence(F.lit(0), F.floor((F.length(s) - 1) / CHUNK).cast("int"))
-    part = lambda k: feistel(F.substr(s, k * CHUNK + 1, F.lit(CHUNK)), radix, F.concat(F.lit(f"{kind}|"), F.length(s).cast("string"), F.lit("|"), k.cast("string")), key)
+    part = lambda k: feistel(F.substr(s, k * CHUNK + 1, F.lit(CHUNK)), radix, F.concat(kind, F.lit("|"), F.length(s).cast("string"), F.lit("|"), k.cast("string")), key)
     return F.when(F.length(s) == 0, s).otherwise(F.array_join(F.transform(chunks, part), ""))
 
 
@@ -102,32 +107,77 @@ def mod97(c: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(c)), F.lit(0), step)
 
 
-def _alnum(body: Column, kind: str, key: str, radix: int = 36) -> Column:
-    """Letters and digits of body permuted, each place keeping its case; what else there is stays."""
-    chars = permute(F.lower(F.regexp_replace(body, "[^0-9A-Za-z]", "")), radix, kind, key)
-    plain = put_back(body, chars, "0-9A-Za-z")
-    return F.when(~body.rlike("[a-z]"), F.upper(plain)).when(body.rlike("[A-Z]"), F.array_join(F.transform(F.sequence(F.lit(1), F.length(body)), lambda i: F.when(F.substr(body, i, F.lit(1)).rlike("[A-Z]"), F.upper(F.substr(plain, i, F.lit(1)))).otherwise(F.substr(plain, i, F.lit(1)))), "")).otherwise(plain)
+def let(x: Column, body) -> Column:
+    """body(x) with x worked out once."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_AS_DIGITS = "0123456789abcdefghijklmnop"
+
+
+def _letters(s: Column, kind: Column, key: str) -> Column:
+    """Lower-case letters permuted."""
+    return F.translate(permute(F.translate(s, _LETTERS, _AS_DIGITS), 26, kind, key), _AS_DIGITS, _LETTERS)
+
+
+def _alnum(body: Column, kind: Column, key: str) -> Column:
+    """Digits, lower-case and upper-case letters, each permuted among themselves under what the others are; all else stays.
+
+    A permutation: the last class can be undone from the other two as they are now, then the second, then the first.
+    """
+    only = lambda c: F.regexp_replace(body, f"[^{c}]", "")
+    under = lambda name, *x: F.concat_ws("|", kind, F.lit(name), *x)
+    start = F.struct(only("0-9").alias("d"), only("a-z").alias("l"), F.lower(only("A-Z")).alias("u"))
+
+    def upper(x: Column) -> Column:
+        return F.struct(x["d"].alias("d"), x["l"].alias("l"), F.upper(_letters(x["u"], under("u", x["d"], x["l"]), key)).alias("u"))
+
+    def lower(x: Column) -> Column:
+        return let(F.struct(x["d"].alias("d"), _letters(x["l"], under("l", x["d"], x["u"]), key).alias("l"), x["u"].alias("u")), upper)
+
+    def digit(x: Column) -> Column:
+        return let(F.struct(permute(x["d"], 10, under("d", x["l"], x["u"]), key).alias("d"), x["l"].alias("l"), x["u"].alias("u")), lower)
+
+    return let(let(start, digit), lambda x: put_back(put_back(put_back(body, x["d"], "0-9"), x["l"], "a-z"), x["u"], "A-Z"))
 
 
 def _email(m: Column, key: str) -> Column:
-    return F.concat(_alnum(F.substring_index(m, "@", 1), "email", key), F.lit("@"), F.substring_index(m, "@", -1))
+    return F.concat(_alnum(F.substring_index(m, "@", 1), F.lit("email"), key), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _secret(m: Column, key: str) -> Column:
-    """In slices of SLICE characters, as put_back takes the square of a length."""
+    """Numbers, hexadecimal values of either case and all others are permuted apart, each walked until it is of its own sort and has a digit.
+
+    In slices of SLICE characters, as put_back takes the square of a length.
+    """
     body = F.regexp_extract(m, _SECRET_HEAD + "([0-9A-Za-z_+/=-]+)$", 1)
     head = F.substr(m, F.lit(1), F.length(m) - F.length(body))
-    slices = lambda kind, radix: F.array_join(F.transform(F.regexp_extract_all(body, F.lit(f".{{1,{SLICE}}}"), F.lit(0)), lambda x: _alnum(x, kind, key, radix)), "")
-    return F.concat(head, F.when(body.rlike("^[0-9a-f_+/=-]+$"), slices("hex", 16)).otherwise(slices("secret", 36)))
+    mark = "_+/=-"
+    number, low, high = (lambda x, c=c: x.rlike(f"^[{c}{mark}]+$") for c in ("0-9", "0-9a-f", "0-9A-F"))
+
+    def slices(x: Column, one) -> Column:
+        return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(f".{{1,{SLICE}}}"), F.lit(0)), one), "")
+
+    def hexes(up: bool):
+        case = F.upper if up else F.lower
+        return lambda x, i: put_back(x, case(permute(F.lower(F.regexp_replace(x, f"[{mark}]", "")), 16, F.concat(F.lit("hex|"), i.cast("string")), key)), "0-9A-Fa-f")
+
+    plain = lambda x, i: _alnum(x, F.concat(F.lit("secret|"), i.cast("string")), key)
+    mixed = lambda x: x.rlike("[0-9]") & ~number(x)
+    new = F.when(number(body), slices(body, plain))
+    new = new.when(low(body), walk(body, lambda x: slices(x, hexes(False)), mixed)).when(high(body), walk(body, lambda x: slices(x, hexes(True)), mixed))
+    new = new.otherwise(walk(body, lambda x: slices(x, plain), lambda x: ~(low(x) | high(x))))
+    return F.concat(head, new)
 
 
 def _access_key(m: Column, key: str) -> Column:
-    return F.concat(F.substr(m, F.lit(1), F.lit(4)), _alnum(F.substr(m, F.lit(5), F.lit(16)), "access_key", key))
+    return F.concat(F.substr(m, F.lit(1), F.lit(4)), F.upper(permute(F.lower(F.substr(m, F.lit(5), F.lit(16))), 36, "access_key", key)))
 
 
 def _is_iban(m: Column) -> Column:
     flat = F.replace(m, F.lit(" "), F.lit(""))
-    return mod97(F.concat(F.substr(flat, F.lit(5), F.length(flat)), F.substr(flat, F.lit(1), F.lit(4)))) == 1
+    return F.substr(flat, F.lit(3), F.lit(2)).between("02", "98") & (mod97(F.concat(F.substr(flat, F.lit(5), F.length(flat)), F.substr(flat, F.lit(1), F.lit(4)))) == 1)
 
 
 def _iban(m: Column, key: str) -> Column:
@@ -147,8 +197,8 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(valid, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.conv(F.substr(new, 2 * i + 1, F.lit(2)), 16, 10)), "."))
 
 
-def _shift_date(day: Column, key: str) -> Column:
-    """A permutation of the days from 1900 to 2099: two digits to the base SIDE, walked until in range."""
+def _shift_date(day: Column, key: str, late: bool = False) -> Column:
+    """A permutation of the days from 1900 to 2099, or of those after the twelfth of a month (late): two digits to the base SIDE, walked until in range."""
     turn = lambda n: F.aggregate(
         F.sequence(F.lit(1), F.lit(ROUNDS)),
         F.struct(F.floor(n / SIDE).cast("long").alias("a"), (n % SIDE).cast("long").alias("b")),
@@ -156,7 +206,7 @@ def _shift_date(day: Column, key: str) -> Column:
         lambda acc: acc["a"] * SIDE + acc["b"],
     )
     start = F.datediff(day, F.lit(DAY_ZERO).cast("date")).cast("long")
-    new = walk(start, turn, lambda n: n < DAYS)
+    new = walk(start, turn, lambda n: (n < DAYS) & (F.dayofmonth(F.date_add(F.lit(DAY_ZERO).cast("date"), n.cast("int"))) > 12) if late else n < DAYS)
     return F.when((start >= 0) & (start < DAYS), F.date_add(F.lit(DAY_ZERO).cast("date"), new.cast("int")))
 
 
@@ -171,7 +221,7 @@ def _date(m: Column, key: str) -> Column:
 def _day_date(m: Column, key: str) -> Column:
     flat = F.replace(m, F.lit("."), F.lit("/"))
     day, month = _parsed(flat, "dd/MM/yyyy"), _parsed(flat, "MM/dd/yyyy")
-    out = F.coalesce(F.date_format(_shift_date(day, key), "dd/MM/yyyy"), F.date_format(_shift_date(month, key), "MM/dd/yyyy"))
+    out = F.coalesce(F.date_format(_shift_date(day, key), "dd/MM/yyyy"), F.date_format(_shift_date(month, key, late=True), "MM/dd/yyyy"))
     return F.when(F.substr(m, F.lit(3), F.lit(1)) == F.substr(m, F.lit(6), F.lit(1)), F.when(F.contains(m, F.lit(".")), F.replace(out, F.lit("/"), F.lit("."))).otherwise(out))
 
 
@@ -196,7 +246,7 @@ def _world_phone(m: Column, key: str) -> Column:
 
 def _is_card(m: Column) -> Column:
     d = digits(m)
-    return (luhn(d) == 0) & ~d.rlike("^(.)\\1+$")
+    return d.rlike("^[2-6]") & (luhn(d) == 0) & ~d.rlike("^(.)\\1+$")
 
 
 def _card(m: Column, key: str) -> Column:
@@ -211,11 +261,11 @@ def _card(m: Column, key: str) -> Column:
 _HANDLERS = {"email": _email, "access_key": _access_key, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "day_date": _day_date, "ssn": _ssn, "phone": _phone, "world_phone": _world_phone, "card": _card}
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """struct kind, out of one find: kind is null and out the find itself where it isn't valid."""
     kind, out = None, None
     for name, pattern in KINDS.items():
-        inner = pattern.replace("(?<![0-9A-Za-z])", "").replace("(?<![0-9A-Za-z+])", "")
+        inner = pattern.replace("(?<![0-9A-Za-z])", "").replace("(?<![0-9A-Za-z+])", "").replace(VERSION, "")
         is_it = m.rlike(f"^(?:{inner})$")
         label = F.lit(name.removeprefix("day_").removeprefix("world_"))
         kind = F.when(is_it, label) if kind is None else kind.when(is_it, label)
@@ -250,12 +300,14 @@ def _scan(text: Column) -> Column:
     return F.concat_ws("|", *parts)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs' columns with text pseudonymised, and n_pii and kinds (sorted, one of each).
 
     Null texts stay null and empty ones empty; a text without finds is returned unchanged. Rows are treated one
-    by one, so repeated rows give equal results. Columns of docs named n_pii or kinds are replaced.
+    by one, so repeated rows give equal results. Columns of docs named n_pii or kinds are replaced. An empty key is refused.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_pii", "kinds")]
     gate = F.coalesce(F.col("text").rlike("[0-9@]"), F.lit(False))
     docs = docs.select(*others, "text", F.when(gate, _scan(F.col("text"))).alias("__rw_scan"))
@@ -270,4 +322,4 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)
