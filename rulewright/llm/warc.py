@@ -64,8 +64,17 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, compression: str
     rows.select(F.concat(head, http, body).alias("value")).write.option("lineSep", GAP).option("compression", compression).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
+def _number(text: str) -> int | None:
+    """A decimal that a file's offset can hold; None for all else."""
+    return int(text) if len(text) <= 15 and text.isascii() and text.isdigit() else None
+
+
 def parse_record(data: bytes) -> dict | None:
-    """What stands after a magic: length (with both gaps), whole, kind, id, refers, payload_bytes, digest. None if it is no record's head."""
+    """What stands after a magic: length (with both gaps), whole, kind, id, refers, payload_bytes, digest. None if it is no record's head.
+
+    A head without a length of at most 15 digits, or with a line without a colon, is none; payload_bytes of a revisit is null where
+    its HTTP head names no such length. Nothing that a page holds raises an error.
+    """
     cut = data.find(b"\r\n\r\n")
     if cut < 0:
         return None
@@ -75,10 +84,10 @@ def parse_record(data: bytes) -> dict | None:
         if not colon:
             return None
         head[name.strip().lower()] = value.strip().decode("utf-8", "replace")
-    declared = head.get(b"content-length", "")
-    if not (declared.isascii() and declared.isdigit()):
+    declared = _number(head.get(b"content-length", ""))
+    if declared is None:
         return None
-    end = cut + 4 + int(declared)
+    end = cut + 4 + declared
     kind = head.get(b"warc-type", "")
     out = {"length": end + 4, "whole": len(data) >= end, "kind": kind, "id": head.get(b"warc-record-id", "").strip("<>"), "refers": head.get(b"warc-refers-to", "").strip("<>") or None, "payload_bytes": None, "digest": None}
     if not out["whole"]:
@@ -89,7 +98,7 @@ def parse_record(data: bytes) -> dict | None:
     if kind == "revisit":
         for line in bytes(block[: max(0, at - cut - 4)]).split(b"\r\n"):
             if line.lower().startswith(b"content-length:"):
-                out["payload_bytes"] = int(line.split(b":", 1)[1])
+                out["payload_bytes"] = _number(line.split(b":", 1)[1].strip().decode("utf-8", "replace"))
         out["digest"] = head.get(b"warc-payload-digest", "").removeprefix("sha1:")
     else:
         out["payload_bytes"], out["digest"] = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
