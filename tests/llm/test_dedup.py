@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rulewright.llm import components, exact_dedup, line_dedup, simhash_vptree as sv
+from rulewright.llm import components, exact_dedup, line_dedup, near_copies, simhash_vptree as sv
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -49,6 +49,39 @@ def test_exact_over_many_micro_batches(spark):
     check_exact(df.collect(), a.collect())
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_crawls_go_on_from_kept_state(spark, tmp_path, weak):
+    import zlib
+
+    digest = (lambda c: F.crc32(c.cast("binary")) % 3) if weak else exact_dedup.sha256_hex
+    state, seen = f"file://{tmp_path}/state", []
+    crawls = [edge.docs(spark), edge.docs(spark, [(30 + i, "copy  of a text" + " " * (i % 3), "en", "hot") for i in range(9)]), edge.empty(spark), edge.docs(spark, [(50, "same  same ", "en", "x"), (51, "new", "en", "x"), (52, "copy of a text", "en", "x")]).filter("doc_id >= 50")]
+    for k, df in enumerate(crawls):
+        path = f"file://{tmp_path}/crawl {k}"
+        df.repartition(2).write.parquet(path)
+        new = spark.read.parquet(path).collect()
+        seen += new
+        norm = lambda t: re.sub(f"[{WS}]", "", t or "")
+        key = (lambda t: zlib.crc32(norm(t).encode()) % 3) if weak else norm
+        touched = {key(r.text) for r in new}
+        for _ in range(2 if k == 1 else 1):
+            check_exact([r for r in seen if key(r.text) in touched], exact_dedup.dedup_crawl(spark, path, state, digest).collect())
+
+
+def test_a_stopped_stream_goes_on(spark, tmp_path):
+    """A crawl whose stream fails after it has been added is finished by the next call."""
+    state, path = f"file://{tmp_path}/state", f"file://{tmp_path}/c"
+    edge.docs(spark).repartition(4).write.parquet(path)
+    want, real = edge.docs(spark).collect(), exact_dedup.stream_state
+    try:
+        exact_dedup.stream_state = lambda *a, **k: 1 / 0
+        with pytest.raises(ZeroDivisionError):
+            exact_dedup.dedup_crawl(spark, path, state)
+    finally:
+        exact_dedup.stream_state = real
+    check_exact(want, exact_dedup.dedup_crawl(spark, path, state, files_per_trigger=1).collect())
+
+
 def test_exact_keeps_columns_and_empty_tables(spark):
     kept = exact_dedup.keep_first_copies(spark, edge.docs(spark))
     assert kept.columns == edge.docs(spark).columns
@@ -166,12 +199,15 @@ def brute_lines(rows):
     return [(r.doc_id, len((r.text or "").split("\n")), [x for x in (r.text or "").split("\n") if keep(r, x)]) for r in rows]
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("per_copy", [16_384, 3])
+def test_lines(spark, monkeypatch, per_copy):
+    monkeypatch.setattr(line_dedup, "PER_COPY", per_copy)
     extra = [(100 + i, f"Shared LINE of text \r\nonly {i} here\n\nshared line of text\n{'x' * i}", "en", "s") for i in range(30)]
     df = edge.docs(spark, extra)
     want = sorted(repr((i, n, n - len(kept), "\n".join(kept))) for i, n, kept in brute_lines(df.collect()))
     assert want == sorted(repr((r.doc_id, r.n_lines, r.n_dropped, r.kept)) for r in line_dedup.dedup_lines(df).collect())
     assert line_dedup.dedup_lines(edge.empty(spark)).count() == 0
+    assert line_dedup.dedup_lines(df, min_copies=20).filter("n_dropped > 0").count() == sum(n > len(k) for _, n, k in brute_lines([r for r in df.collect() if "shared line" in (r.text or "").lower()]))
 
 
 def test_perfect_hash_is_minimal_and_perfect():
@@ -185,7 +221,77 @@ def test_perfect_hash_is_minimal_and_perfect():
 def test_index_survives_bytes_and_rejects_strangers():
     rng = np.random.default_rng(5)
     h1, h2 = rng.integers(0, 2**64, 1000, dtype=np.uint64), rng.integers(0, 2**64, 1000, dtype=np.uint64)
-    index = line_dedup.LineIndex.from_bytes(line_dedup.LineIndex.build(h1, h2, np.arange(1000), np.arange(1000)).to_bytes())
+    index = line_dedup.LineIndex.from_bytes(line_dedup.LineIndex.build(h1, h2, np.arange(1000) + 2, np.arange(1000)).to_bytes())
     assert not index.elsewhere(h1, h2, np.arange(1000)).any()
     assert index.elsewhere(h1, h2, np.arange(1000) + 1).all()
     assert not index.elsewhere(h2, h1, np.arange(1000) + 1).any()
+    assert (index.elsewhere(h1, h2, np.arange(1000) + 1, 500) == (np.arange(1000) + 2 >= 500)).all()
+
+
+# Near copies by wide fingerprints.
+def brute_sketch(text):
+    """The 256 bits and the keys of the bands, with plain integers."""
+    def stir(x):
+        x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD % 2**64
+        x = (x ^ x >> 33) * 0xC4CEB9FE1A85EC53 % 2**64
+        return x ^ x >> 33
+
+    w = [x for x in re.split(f"[{WS}]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+    h = {xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), 42) for i in range(max(1, len(w) - 4))}
+    wide = [sum(stir((x + (k + 1) * 0x9E3779B97F4A7C15) % 2**64) << 64 * k for k in range(4)) for x in h]
+    bits = sum(1 << b for b in range(256) if 2 * sum(x >> b & 1 for x in wide) > len(h))
+    odd = near_copies._ODD.tolist()
+    least = [stir((min((x * a + b) % 2**64 for x in h) + k) % 2**64) for k, (a, b) in enumerate(zip(*odd, strict=True))]
+    return bits, {stir((sum(least[5 * t : 5 * t + 5]) + t) % 2**64) for t in range(16)}
+
+
+def brute_near_copies(rows):
+    """The smallest id of each group."""
+    sketches = [brute_sketch(r.text) for r in rows]
+    root = brute_components(sketches, lambda a, b: (a[0] ^ b[0]).bit_count() <= 48 and not a[1].isdisjoint(b[1]))
+    groups = defaultdict(set)
+    for k, r in zip(root, rows, strict=True):
+        groups[k].add(r.doc_id)
+    return {min(g, key=lambda x: (x is None, x)) for g in groups.values()}
+
+
+def prose(seed, n=300):
+    rng = random.Random(seed)
+    return [f"w{rng.randrange(3000)}" for _ in range(n)]
+
+
+def edited(words, edits, seed):
+    out, rng = list(words), random.Random(seed)
+    for k in rng.sample(range(len(out)), edits):
+        out[k] = f"x{rng.randrange(10**6)}"
+    return out
+
+
+@pytest.mark.parametrize("chunk", [4096, 7])
+def test_near_copies_match_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    monkeypatch.setattr(near_copies.near_links, "__defaults__", (near_copies.RADIUS, chunk))
+    shared = prose(99, 250)
+    texts = [prose(k) for k in range(6)]
+    texts += [edited(prose(0), 4, s) for s in range(40)] + [edited(prose(1), 14, s) for s in range(20)]
+    texts += [shared + prose(200 + k, 40) for k in range(12)] + [edited(shared + prose(200, 40), 3, s) for s in range(12)]
+    df = edge.docs(spark, [(1000 + k, " ".join(t), "en", "z") for k, t in enumerate(texts)])
+    kept = near_copies.keep_one_of_each_group(df)
+    assert kept.columns == df.columns
+    assert {r.doc_id for r in kept.collect()} == brute_near_copies(df.collect())
+    assert near_copies.keep_one_of_each_group(edge.empty(spark)).count() == 0
+
+
+def test_near_copies_of_similarity_are_caught(spark):
+    """Pairs of a Jaccard similarity of 0.8 to 0.85, and others under 0.4."""
+    jaccard = lambda a, b: len(a & b) / len(a | b)
+    sets = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows, close = [], 0
+    for k in range(120):
+        base = prose(5000 + k)
+        other = next(t for s in range(99) if 0.8 <= jaccard(sets(base), sets(t := edited(base, 7, s))) <= 0.85)
+        far = next(t for s in range(99) if jaccard(sets(base), sets(t := edited(base, 45, s))) < 0.4)
+        rows += [(3 * k, " ".join(base)), (3 * k + 1, " ".join(other)), (3 * k + 2, " ".join(far))]
+    rep = {r.doc_id: r.rep for r in near_copies.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    close = sum(rep[3 * k] == rep[3 * k + 1] for k in range(120))
+    assert close >= 0.93 * 120 and all(rep[3 * k] != rep[3 * k + 2] for k in range(120))
