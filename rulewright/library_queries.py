@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -147,23 +148,42 @@ def _functions(spark: SparkSession, sf_dir: str, exported: str) -> DataFrame:
     return n.select(F.concat(mod, F.lit(":"), name, F.lit("/1")).alias("func"), mod.alias("mod"), name.alias("name"), F.lit(1).alias("arity"), F.expr(f"int({exported})").alias("exported"))
 
 
-@query("q_call_graph", f"WITH {CHAIN_SQL}, {_ENDS} SELECT 'edge' AS kind, f AS caller, g AS callee FROM p UNION SELECT 'edge', a.f, b.g FROM p a, p b WHERE a.x = 3 AND b.y = 11 UNION SELECT 'always', f, g FROM p WHERE x % 2 = 1 UNION SELECT 'site', f, 'M' || n || ':f' || y FROM p")
+_CALL_GRAPH = f"""WITH {CHAIN_SQL}, {_ENDS}, fn AS (SELECT n_nationkey AS k, 'M' || n_regionkey || ':f' || n_nationkey || '/1' AS f FROM nation),
+named AS (SELECT f, g, x % 2 = 0 AS maybe FROM p UNION SELECT f, ':lists:map/2', false FROM fn WHERE k % 6 = 0 UNION SELECT f, 'GenServer:call/2', false FROM fn WHERE k % 5 = 0 UNION SELECT f, ':erlang:self/0', false FROM fn WHERE k % 9 = 0)
+SELECT 'edge' AS kind, f AS caller, g AS callee FROM named UNION SELECT 'edge', a.f, b.g FROM p a, p b WHERE a.x = 3 AND b.y = 11 UNION SELECT 'built', a.f, b.g FROM p a, p b WHERE a.x = 3 AND b.y = 11
+UNION SELECT 'always', f, g FROM named WHERE NOT maybe UNION SELECT 'site', f, 'M' || n || ':f' || y FROM p UNION SELECT 'site', f, 'GenServer:call' FROM fn WHERE k % 5 = 0
+UNION SELECT 'tag', f, 'call :ping/0' FROM fn WHERE k % 5 = 0 UNION SELECT 'tag', f, 'call :add/2' FROM fn WHERE k % 10 = 0 UNION SELECT 'handed', f, f || ' to :lists:map/2' FROM fn WHERE k % 6 = 0"""
+
+
+@query("q_call_graph", _CALL_GRAPH)
 def q_call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain's links within a region are local calls, the others remote ones; some functions call out of the program, or what isn't there."""
     p = _calls(spark, sf_dir).withColumn("id", F.concat("f", F.lit("#"), F.col("y").cast("string")))
-    none = lambda name: FACTS.frame(spark, name, [])
-    facts = {
-        "function_def": _functions(spark, sf_dir, "true"),
-        "local_call": p.filter("m = n").select("id", F.col("f").alias("caller"), F.col("g").alias("target"), F.lit(1).alias("arity")),
-        "remote_call": p.filter("m <> n").select("id", F.col("f").alias("caller"), F.col("n").alias("mod"), F.concat(F.lit("f"), F.col("y").cast("string")).alias("func"), F.lit(1).alias("arity")),
+    fn = _functions(spark, sf_dir, "true").withColumn("k", F.substring("name", 2, 9).cast("int"))
+    at = lambda every, mark: fn.filter(f"k % {every} = 0").select(F.concat("func", F.lit(f"#{mark}")).alias("id"), F.col("func").alias("caller"))
+    out = lambda every, mark, mod, func, arity: at(every, mark).select("id", "caller", F.lit(mod).alias("mod"), F.lit(func).alias("func"), F.lit(arity).alias("arity"))
+    written = at(5, "g").select(F.concat(F.lit("w"), "id").alias("def_id"), F.col("id").alias("use_id"))
+    remote = p.filter("m <> n").select("id", F.col("f").alias("caller"), F.col("n").alias("mod"), F.concat(F.lit("f"), F.col("y").cast("string")).alias("func"), F.lit(1).alias("arity"))
+    facts = library.empty_facts(spark, "call_graph") | {
+        "function_def": fn.drop("k"),
+        "local_call": p.filter("m = n").select("id", F.col("f").alias("caller"), F.col("g").alias("target"), F.lit(1).alias("arity")).unionAll(at(4, "n").select("id", "caller", F.lit("M0:nowhere/0"), F.lit(0))),
+        "remote_call": remote.unionAll(out(6, "l", ":lists", "map", 2)).unionAll(out(5, "g", "GenServer", "call", 2)),
+        "bif_call": out(9, "b", ":erlang", "self", 0).withColumn("fail", F.lit(0)),
         "conditional_call": p.filter("x % 2 = 0").select("id"),
         "closure_def": p.filter("x = 3").select(F.col("f").alias("parent_func")).distinct().crossJoin(p.filter("y = 11").select(F.col("g").alias("closure_func")).distinct()),
-        "fun_ref": none("fun_ref"),
-        "resolved_apply": none("resolved_apply"),
+        "def_use": written,
+        "literal_value": written.select(F.col("def_id").alias("id"), F.lit("x1").alias("reg"), F.lit(":ping").alias("val")),
+        "tuple_literal": at(10, "g").select(F.concat(F.lit("w"), "id").alias("id"), F.lit("x1").alias("reg"), F.lit(":add").alias("tag"), F.lit(2).alias("size")),
+        "fun_handed": at(6, "l").select("id", "caller", F.col("caller").alias("fun"), F.lit("0").alias("arg_pos")),
     }
-    out = run_stages(spark, [library.call_graph()], facts, nulls="drop").outputs
-    edge = lambda name, kind: out[name].select(F.lit(kind).alias("kind"), "caller", "callee")
-    site = out["call_site"].select(F.lit("site").alias("kind"), "caller", F.concat("callee_mod", F.lit(":"), "callee_func").alias("callee"))
-    return edge("call_edge", "edge").unionByName(edge("unconditional_call_edge", "always")).unionByName(site)
+    made = run_stages(spark, [library.call_graph()], facts, nulls="drop").outputs
+    edge = lambda name, kind: made[name].select(F.lit(kind).alias("kind"), "caller", "callee")
+    site = made["call_site"].select(F.lit("site").alias("kind"), "caller", F.concat("callee_mod", F.lit(":"), "callee_func").alias("callee"))
+    size = made["call_tag_arity"].withColumn("tag", F.when(F.col("arity") == 0, ":ping").otherwise(":add"))
+    tag = made["call_tag"].join(size, ["id", "tag"]).select(F.lit("tag").alias("kind"), "caller", F.concat("kind", F.lit(" "), "tag", F.lit("/"), F.col("arity").cast("string")).alias("callee"))
+    handed = made["fun_handed_to"].select(F.lit("handed").alias("kind"), "caller", F.concat("fun", F.lit(" to "), "callee").alias("callee"))
+    built = made["fun_built"].select(F.lit("built").alias("kind"), "caller", F.col("fun").alias("callee"))
+    return edge("call_edge", "edge").unionByName(edge("unconditional_call_edge", "always")).unionByName(site).unionByName(tag).unionByName(handed).unionByName(built)
 
 
 _VALUES = f"""WITH RECURSIVE {CHAIN_SQL}, {_ENDS}, told AS (SELECT * FROM p WHERE x % 7 <> 6),
@@ -187,8 +207,9 @@ def q_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out["param_value"].select(F.lit("value").alias("kind"), "func", "value").unionByName(out["param_complete"].select(F.lit("complete").alias("kind"), "func", F.lit("").alias("value")))
 
 
-@query("q_values_unknown", "SELECT 'unknown' AS mode, CAST(0 AS BIGINT) AS n")
+@query("q_values_unknown", f"WITH {CHAIN_SQL}, {_ENDS}, shown AS (SELECT DISTINCT g, f FROM p) SELECT CASE WHEN count(*) > 10 THEN 'unknown' ELSE 'known' END AS mode, CASE WHEN count(*) > 10 THEN 0 ELSE count(*) END AS n FROM shown")
 def q_values_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More values than the budget: none is told."""
     p = _calls(spark, sf_dir)
     ends = [F.col("f").alias("caller"), F.col("g").alias("callee")]
     facts = {"function_def": _functions(spark, sf_dir, "false"), "call_edge": p.select(*ends), "call_arg": p.select(*ends, F.lit(0).alias("arg_pos"), F.col("f").alias("value")), "call_arg_derived": FACTS.frame(spark, "call_arg_derived", [])}
@@ -196,24 +217,40 @@ def q_values_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out["values_mode"].crossJoin(out["param_value"].agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("q_points_to", None)
+_HEAP = "h AS (SELECT 's' || l_suppkey AS s, 'p' || l_partkey AS p, 'c' || o_custkey AS c, 'i' || l_orderkey AS i, l_linenumber AS n, l_returnflag AS flag, l_suppkey AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+@query("q_points_to", f"""WITH {_HEAP} SELECT 'returns' AS what, c AS who, p AS of FROM h WHERE p IN (SELECT p FROM h WHERE n = 1)
+UNION SELECT 'server', 'w' || k, 'S' || k % 9 FROM h WHERE k % 4 = 0 UNION SELECT 'server', 'child S' || k || '#' || k, 'S' || k FROM h WHERE k % 6 = 0
+UNION SELECT 'process', 'w' || k, '' FROM h UNION SELECT 'process', 'child S' || k || '#' || k, '' FROM h WHERE k % 6 = 0 UNION SELECT 'named', 'n' || k, 'w' || k FROM h WHERE k % 3 = 0
+UNION SELECT 'target', 'q' || k, 'w' || k FROM h WHERE k % 2 = 0 UNION SELECT 'table', 's' || k, 't' || k FROM h WHERE k % 5 = 0""")
 def q_points_to(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers allocate their parts' terms and store each in the next one's field; customers load what orders hand to them."""
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2 and l_returnflag = 'R'")
+    """Suppliers allocate their parts' terms and store each in a field of its own; customers load what orders hand to them. Suppliers start processes, name and call them, and make tables."""
+    li = table(spark, sf_dir, "lineitem")
     text = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     rows = li.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(text("s", "l_suppkey").alias("s"), text("p", "l_partkey").alias("p"), text("c", "o_custkey").alias("c"), text("i", "l_orderkey").alias("i"), F.col("l_linenumber").cast("string").alias("n"))
-    none = lambda name: FACTS.frame(spark, name, [])
-    facts = {
+    who = li.select(F.col("l_suppkey").alias("k")).distinct()
+    some = lambda every, *columns: who.filter(f"k % {every} = 0").select(*columns)
+    started = who.select(text("q", "k").alias("id"), text("s", "k").alias("func"), text("w", "k").alias("process"), F.expr("if(k % 4 = 0, 'server', 'spawn')").alias("kind"), F.expr("concat('S', k % 9)").alias("runs"))
+    held = [F.lit("process").alias("var_kind"), text("w", "k").alias("var")]
+    facts = library.empty_facts(spark, "behaviours", "points_to") | {
         "term_allocation": rows.select(F.col("s").alias("func"), F.col("p").alias("term"), F.lit("map").alias("shape"), F.lit("").alias("tag"), F.lit("0").alias("arity")),
         "field_store": rows.select(F.col("s").alias("func"), F.col("p").alias("term"), F.col("n").alias("field"), F.lit("term").alias("var_kind"), F.col("p").alias("var")),
         "call_arg_var": rows.select(F.col("i").alias("id"), F.col("s").alias("caller"), F.col("c").alias("callee"), F.col("n").alias("arg_pos"), F.lit("call").alias("via"), F.lit("term").alias("var_kind"), F.col("p").alias("var")),
         "field_load": rows.select(F.col("c").alias("func"), F.col("i").alias("load"), F.lit("1").alias("field"), F.lit("param").alias("var_kind"), F.col("n").alias("var")),
         "return_var": rows.select(F.col("c").alias("func"), F.lit("load").alias("var_kind"), F.col("i").alias("var")),
-        "call_result_var": rows.select(F.col("i").alias("id"), F.col("s").alias("func"), F.col("c").alias("callee")),
-        "process_start": none("process_start"),
-        "process_call_var": none("process_call_var"),
+        "process_start": started,
+        "process_register_var": some(3, text("q", "k").alias("id"), text("s", "k").alias("func"), text("n", "k").alias("name"), *held),
+        "process_call_var": some(2, text("q", "k").alias("id"), text("s", "k").alias("func"), F.lit("call").alias("api_kind"), *held),
+        "supervisor_child": some(6, text("S", "k").alias("supervisor"), F.col("k").cast("int").alias("position"), text("S", "k").alias("child_mod"), F.lit("permanent").alias("restart"), F.lit("worker").alias("type")),
+        "implements_behaviour": some(6, text("S", "k").alias("mod"), F.lit(":gen_server").alias("behaviour")),
+        "table_allocation": some(5, text("q", "k").alias("id"), text("s", "k").alias("func"), text("t", "k").alias("table")),
+        "table_use": some(5, text("q", "k").alias("id"), text("s", "k").alias("func"), F.lit("table").alias("var_kind"), text("t", "k").alias("var")),
     }
-    return run_stages(spark, [library.points_to()], facts, nulls="drop").outputs["returns"]
+    made = run_stages(spark, [library.points_to()], facts, nulls="drop").outputs
+    as_ = lambda name, what, who, of: made[name].select(F.lit(what).alias("what"), F.col(who).alias("who"), (F.col(of) if of else F.lit("")).alias("of"))
+    parts = [as_("returns", "returns", "func", "object"), as_("server_process", "server", "process", "mod"), as_("process", "process", "process", None), as_("named_pid", "named", "name", "process"), as_("call_site_target", "target", "id", "process"), as_("var_table", "table", "func", "table")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 _WAITS = "w AS (SELECT DISTINCT 'M' || c_nationkey AS a, 'M' || s_nationkey AS b FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderstatus = 'P' AND l_linenumber = 1 AND c_nationkey <> s_nationkey)"
@@ -234,19 +271,107 @@ def q_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.run_analyses(spark, [library.waits()], facts, nulls="drop").findings.select("title", "severity", "anchor", "detail")
 
 
-@query("q_coverage", """SELECT 'Supervisor without children' AS title, s_name AS anchor FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7 AND l_returnflag IN ('R', 'A'))
-UNION ALL SELECT 'Isolated server', p_brand FROM (SELECT DISTINCT p_brand FROM part) WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 45)""")
+_COVERAGE = """WITH s AS (SELECT s_suppkey AS k, 'S' || s_suppkey AS m, 'n' || s_suppkey AS name FROM supplier),
+child AS (SELECT k // 4 AS sup, k AS c, k % 3 AS how FROM s)
+SELECT 'Supervisor without children' AS title, 'info' AS severity, m AS anchor FROM s WHERE k NOT IN (SELECT sup FROM child WHERE how < 3)
+UNION ALL SELECT 'Isolated server', 'info', 'G' || k FROM s WHERE k % 2 = 0 AND k % 5 <> 0 AND k % 7 <> 0 AND k % 11 <> 0
+UNION ALL SELECT 'Unused table', 'info', 't' || k FROM s WHERE k % 4 <> 0 AND k % 9 >= 3
+UNION ALL SELECT 'Unreached name', 'info', m FROM s WHERE k % 5 <> 0 AND k % 7 <> 0 AND k % 6 <> 0
+UNION ALL SELECT 'Imprecision', 'info', 'M:f' || k || '/0' FROM s WHERE k % 13 = 0"""
+
+
+@query("q_coverage", _COVERAGE)
 def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = lambda name: table(spark, sf_dir, name)
-    li = t("lineitem").filter("l_linenumber = 7").join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).select("s_name", "l_linenumber", F.col("l_partkey").cast("string").alias("part"), "l_returnflag")
-    facts = {n: FACTS.frame(spark, n, []) for n in ("imprecision", "async_cast", "ets_new", "ets_operation", "named_process")} | {
-        "supervisor": t("supplier").select("s_name", F.lit("one_for_one").alias("strategy")),
-        "supervisor_child": li.filter("l_returnflag = 'R'").select("s_name", "l_linenumber", "part", F.lit("permanent").alias("restart"), F.lit("worker").alias("type")),
-        "dynamic_child": li.filter("l_returnflag = 'A'").select("s_name", "part", F.lit("M:f/0").alias("caller_func")),
-        "implements_behaviour": t("part").select("p_brand", F.lit("gen_server").alias("behaviour")).distinct(),
-        "sync_call": t("part").filter("p_size > 45").select(F.lit("M:f/0").alias("caller_func"), "p_brand"),
+    """Suppliers are supervisors (S), of which four share one, servers (G), makers of tables (t) and bearers of names (n)."""
+    k = F.col("k")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("k"))
+    name = lambda prefix, c=k: F.concat(F.lit(prefix), c.cast("string"))
+    func = F.concat(F.lit("M:f"), k.cast("string"), F.lit("/0"))
+    child = s.select(name("S", F.floor(k / 4).cast("int")).alias("sup"), k, name("S").alias("c"))
+    of = lambda how: child.filter(f"k % 3 = {how}")
+    maker = lambda c: F.concat(F.lit("T"), (c % 9).cast("string"))
+    facts = library.empty_facts(spark, "behaviours", "coverage") | {
+        "imprecision": s.filter("k % 13 = 0").select(F.lit("flow").alias("category"), func.alias("func"), F.lit("holds").alias("relation"), F.lit("too many").alias("reason")),
+        "supervisor": s.select(name("S").alias("mod"), F.lit("one_for_one").alias("strategy")),
+        "supervisor_child": of(0).select("sup", "k", "c", F.lit("permanent").alias("restart"), F.lit("worker").alias("type")).unionAll(s.filter("k % 11 = 0").select(F.lit("Top"), k, name("G"), F.lit("permanent"), F.lit("worker"))),
+        "dynamic_child": of(1).select("sup", "c", F.lit("M:g/0").alias("caller_func")),
+        "added_child": of(2).select("sup", "c", F.lit("transient").alias("restart"), F.lit("worker").alias("type"), F.lit("M:g/0").alias("caller_func")),
+        "implements_behaviour": s.filter("k % 2 = 0").select(name("G").alias("mod"), F.when(k % 4 == 0, "GenServer").otherwise("gen_server").alias("behaviour")).unionAll(s.filter("k % 2 = 1").select(name("G"), F.lit("Agent"))),
+        "sync_call": s.filter("k % 5 = 0").select(func.alias("caller_func"), name("G").alias("callee_mod")).unionAll(s.filter("k % 5 = 0").select(func, name("n"))),
+        "async_cast": s.filter("k % 7 = 0").select(func.alias("caller_func"), name("G").alias("callee_mod")).unionAll(s.filter("k % 7 = 0").select(func, name("n"))),
+        "ets_new": s.select(name("M:f").alias("id"), F.concat(maker(k), F.lit(":new"), k.cast("string"), F.lit("/0")).alias("func"), name("t").alias("name")).unionAll(s.select(name("M:d"), F.lit("T8:d/0"), F.lit("dynamic"))),
+        "ets_operation": s.filter("k % 4 = 0").select(name("M:o").alias("id"), F.lit("Elsewhere:o/0").alias("func"), name("t").alias("table_ref"), F.lit("lookup").alias("operation"), F.lit("read").alias("kind")).unionAll(s.filter("k % 9 < 3").select(name("M:p"), F.concat(maker(k), F.lit(":use/0")), F.lit("dynamic"), F.lit("lookup"), F.lit("read"))),
+        "named_process": s.select(name("S").alias("mod"), name("n").alias("name")).unionAll(s.select(name("S"), F.lit("dynamic"))),
+        "function_def": s.select(F.concat(maker(k), F.lit(":new"), k.cast("string"), F.lit("/0")).alias("func"), maker(k).alias("mod"), name("new").alias("name"), F.lit(0).alias("arity"), F.lit(1).alias("exported")).unionAll(s.select(F.concat(maker(k), F.lit(":use/0")), maker(k), F.lit("use"), F.lit(0), F.lit(1)).distinct()),
+        "process_call": s.filter("k % 6 = 0").select(func.alias("func"), name("M:c").alias("anchor"), name("M:c").alias("site"), F.lit("call").alias("api_kind"), name("w").alias("process")),
+        "named_pid": s.select(name("n").alias("name"), name("w").alias("process")),
+    }
+    return extract.run_analyses(spark, [library.coverage()], facts, nulls="drop").findings.select("title", "severity", "anchor")
+
+
+_STRUCTURE = """WITH s AS (SELECT s_suppkey AS k, 'S' || s_suppkey AS m, 'S' || s_suppkey // 3 AS sup FROM supplier)
+SELECT 'Supervisor registered as a worker' AS title, m AS anchor, sup || ' starts the supervisor ' || m || ' as a worker at ' || k AS detail FROM s WHERE k % 3 = 0 AND k % 2 = 0 AND k % 5 <> 0 AND k <> 0
+UNION ALL SELECT 'Supervisor registered as a worker', m, m || chr(39) || 's own specification makes it a worker of ' || sup FROM s WHERE k % 3 = 0 AND k % 5 = 0 AND k % 4 <> 1 AND k <> 0
+UNION ALL SELECT 'Consumers restarted for ever', c.sup, c.sup || ' restarts ' || c.m || ' whenever it ends' FROM s AS c JOIN s AS p ON p.m = c.sup WHERE p.k % 7 = 1 AND p.k % 3 <> 0 AND c.k % 4 = 0 AND (c.k % 5 <> 0 OR c.k % 4 <> 2)
+UNION ALL SELECT 'Name registered twice', a.m, a.m || ' and ' || b.m || ' both register n' || a.k % 40 FROM s AS a JOIN s AS b ON a.k % 40 = b.k % 40 AND a.m < b.m
+UNION ALL SELECT 'Global name without a resolver', m || ':f/0', m || ':f/0 registers g' || k || ' globally and doesn' || chr(39) || 't say what happens when two nodes have it' FROM s WHERE k % 2 = 1"""
+
+
+@query("q_structure", _STRUCTURE)
+def q_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three suppliers each are children of one; every third is a supervisor, and what is left of every seventh a supervisor of consumers."""
+    k = F.col("k")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("k"))
+    name = lambda prefix, c=k: F.concat(F.lit(prefix), c.cast("string"))
+    m, sup, func = name("S"), name("S", F.floor(k / 3).cast("int")), F.concat(F.lit("S"), k.cast("string"), F.lit(":f/0"))
+    short = s.filter("k % 5 = 0")
+    facts = library.empty_facts(spark, "behaviours", "structure") | {
+        "implements_behaviour": s.filter("k % 3 = 0").select(m.alias("mod"), F.lit(":supervisor").alias("behaviour")).unionAll(s.filter("k % 7 = 1 and k % 3 <> 0").select(m, F.lit("ConsumerSupervisor"))),
+        "supervisor_child": s.select(sup.alias("supervisor"), k.alias("position"), m.alias("child_mod"), F.expr("if(k % 5 = 0, 'own', if(k % 4 = 0, 'permanent', 'transient'))").alias("restart"), F.expr("if(k % 5 <> 0 and k % 2 = 0, 'worker', 'supervisor')").alias("type")),
+        "supervisor_child_form": s.select(sup.alias("supervisor"), k.alias("position"), F.expr("if(k % 5 = 0, 'shorthand', 'explicit')").alias("form")),
+        "shorthand_arg": short.select(sup.alias("supervisor"), m.alias("child_mod"), k.cast("string").alias("at"), F.expr("if(k % 2 = 0, 'options', 'none')").alias("shape")),
+        "child_spec_type": short.select(m.alias("mod"), F.lit("worker").alias("type")).unionAll(short.filter("k % 4 = 1").select(m, F.lit("dynamic"))),
+        "child_spec_option": short.filter("k % 2 = 0").select(m.alias("mod"), F.lit("restart").alias("field"), F.lit("mode").alias("key"), F.lit("permanent").alias("default")),
+        "shorthand_option": short.filter("k % 4 = 2").select(sup.alias("supervisor"), m.alias("child_mod"), k.cast("string").alias("at"), F.lit("mode").alias("key"), F.lit("temporary").alias("value")),
+        "process_register": s.select(name("S:f/0#").alias("id"), func.alias("func"), name("n", k % 40).alias("name"), F.lit("name").alias("method")).unionAll(s.select(name("S:f/0#9"), func, F.lit("dynamic"), F.lit("name"))),
+        "global_register": s.select(name("S:f/0#").alias("id"), func.alias("func"), name("g").alias("name"), F.expr("if(k % 2 = 1, '2', '3')").alias("arity")),
+        "function_def": s.select(func.alias("func"), m.alias("mod"), F.lit("f").alias("name"), F.lit(0).alias("arity"), F.lit(1).alias("exported")),
     }
-    return extract.run_analyses(spark, [library.coverage()], facts, nulls="drop").findings.select("title", "anchor")
+    return extract.run_analyses(spark, [library.structure()], facts, nulls="drop").findings.select("title", "anchor", "detail")
+
+
+_FIELDS = "f AS (SELECT p_partkey AS k, 'P' || p_partkey % 50 AS m, ([':password', ':api_key_hint', ':user_password_count', ':client_secret', ':access_token', ':name', ':token', ':auth_token_secret'])[1 + p_partkey % 8] || CASE WHEN p_partkey % 8 IN (0, 3, 4, 7) THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS f, CASE WHEN p_size % 10 = 0 THEN 'boolean' ELSE 'string' END AS t FROM part)"
+_EXPOSURE = f"""WITH {_FIELDS}, field AS (SELECT m, f, bool_or(t = 'boolean') AS flag, (([4, 0, 0, 1, 3, 0, 0, 1])[1 + min(k) % 8]) AS kind FROM f GROUP BY m, f),
+secret AS (SELECT m, f, CASE kind WHEN 1 THEN 'credential' WHEN 4 THEN 'password' ELSE 'token' END AS kind FROM field WHERE NOT flag AND kind > 0),
+listed AS (SELECT DISTINCT m FROM f WHERE CAST(substr(m, 2) AS INTEGER) % 3 = 0),
+hid AS (SELECT m, f FROM f WHERE m IN (SELECT m FROM listed) AND f <> ':name' AND k % 16 <> 4 UNION SELECT m, f FROM f WHERE m NOT IN (SELECT m FROM listed) AND k % 16 = 3)
+SELECT 'Secret that prints' AS title, m AS anchor, f || ' of ' || m || ', a ' || kind || ', prints with it (' || CASE WHEN m IN (SELECT m FROM hid) THEN 'aware' ELSE 'unaware' END || '; ' || CASE WHEN m IN (SELECT m FROM listed) THEN 'derive' ELSE 'redact' END || ')' AS detail
+FROM secret WHERE NOT EXISTS (SELECT 1 FROM hid WHERE hid.m = secret.m AND hid.f = secret.f)
+UNION ALL SELECT 'Peer not checked', 'N' || n_nationkey || ':c/0', 'N' || n_nationkey || ':c/0 turns off the check of its peer' FROM nation WHERE n_nationkey % 3 = 0 AND (n_nationkey % 2 = 0 OR n_nationkey % 5 = 0)
+UNION ALL SELECT 'Check of the peer left to the default', 'N' || n_nationkey || ':c/0', 'N' || n_nationkey || ':c/0 calls :ssl.connect/3 and leaves the check of its peer to the default' FROM nation WHERE n_nationkey % 3 = 1 AND n_nationkey % 5 = 0"""
+
+
+@query("q_exposure", _EXPOSURE)
+def q_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are fields of fifty schemas; every third of them lists what prints. Nations connect with and without checks."""
+    fields = F.array(*(F.lit(x) for x in (":password", ":api_key_hint", ":user_password_count", ":client_secret", ":access_token", ":name", ":token", ":auth_token_secret")))
+    k = F.col("k")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), "p_size")
+    named = F.concat(F.get(fields, (k % 8).cast("int")), F.when((k % 8).isin(0, 3, 4, 7), k.cast("string")).otherwise(""))
+    f = part.select("k", F.concat(F.lit("P"), (k % 50).cast("string")).alias("mod"), named.alias("field"), F.when(F.col("p_size") % 10 == 0, "boolean").otherwise("string").alias("type"))
+    listed = F.substring("mod", 2, 9).cast("int") % 3 == 0
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    func, site = F.concat(F.lit("N"), k.cast("string"), F.lit(":c/0")).alias("func"), F.concat(F.lit("N"), k.cast("string"), F.lit(":c/0#1")).alias("id")
+    facts = library.empty_facts(spark, "exposure") | {
+        "schema_field": f.select("mod", "field", "type"),
+        "inspect_derived": f.filter(listed).select("mod").distinct(),
+        "inspect_shows": f.filter(listed & ((k % 16 == 4) | (F.col("field") == ":name"))).select("mod", "field"),
+        "redacted_field": f.filter(~listed & (k % 16 == 3)).select("mod", "field"),
+        "tls_verification": n.select(site, func, F.expr("case k % 3 when 0 then 'none' when 1 then 'absent' else 'peer' end").alias("setting")).unionAll(n.filter("k % 2 = 1").select(F.concat(F.lit("N"), k.cast("string"), F.lit(":d/0#1")), F.concat(F.lit("N"), k.cast("string"), F.lit(":d/0")), F.lit("peer"))),
+        "tls_connect": n.filter("k % 5 = 0").select(site, func, F.lit(":ssl.connect/3").alias("api"), F.lit("literal").alias("options")),
+        "function_def": n.select(func, F.concat(F.lit("N"), k.cast("string")).alias("mod"), F.lit("c").alias("name"), F.lit(0).alias("arity"), F.lit(1).alias("exported")).unionAll(n.select(F.concat(F.lit("N"), k.cast("string"), F.lit(":d/0")), F.concat(F.lit("N"), k.cast("string")), F.lit("d"), F.lit(0), F.lit(1))),
+    }
+    return extract.run_analyses(spark, [library.exposure()], facts, nulls="drop").findings.select("title", "anchor", "detail")
 
 
 # Streams and commits.
@@ -322,9 +447,15 @@ def q_dominators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cfg.dominators(*_flow(spark, sf_dir))
 
 
-@query("q_loop_headers", f"WITH RECURSIVE {_DOM} SELECT 'f' AS func, f.y AS header, f.x AS tail FROM flow f JOIN dom ON dom.d = f.y AND dom.n = f.x")
+_LOOPS = "flow AS (SELECT n_nationkey AS x, n_nationkey + 1 AS y FROM nation WHERE n_nationkey < 24 UNION SELECT n_nationkey, n_nationkey + 2 FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey < 23 UNION SELECT n_nationkey, n_nationkey - 3 FROM nation WHERE n_nationkey % 5 = 0 AND n_nationkey >= 3)"
+
+
+@query("q_loop_headers", f"WITH RECURSIVE {_DOM.replace(_FLOW, _LOOPS)} SELECT 'f' AS func, f.y AS header, f.x AS tail FROM flow f JOIN dom ON dom.d = f.y AND dom.n = f.x")
 def q_loop_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cfg.loop_headers(*_flow(spark, sf_dir))
+    n = table(spark, sf_dir, "nation").select(F.lit("f").alias("func"), F.col("n_nationkey").alias("src"))
+    step = F.array(F.lit(1), F.when(F.col("src") % 3 == 0, 2), F.when((F.col("src") % 5 == 0) & (F.col("src") >= 3), -3))
+    edges = n.select("func", "src", F.explode(F.array_compact(step)).alias("by")).select("func", "src", (F.col("src") + F.col("by")).alias("dst")).filter("dst < 25")
+    return cfg.loop_headers(edges, spark.createDataFrame([("f", 0)], "func string, entry int"))
 
 
 _POST = f"""{_FLOW}, nodes AS (SELECT n_nationkey AS n FROM nation), around AS (SELECT n AS p, 24 AS n FROM nodes WHERE n <> 24 UNION SELECT a.p, f.x FROM around a JOIN flow f ON f.y = a.n WHERE f.x <> a.p),

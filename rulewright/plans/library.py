@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+
 from rulewright.operators.extract import Analysis, Output
 from rulewright.operators.staged import Stage
 from rulewright.sources.catalogue import FACTS
@@ -15,23 +17,32 @@ BUDGET = 500_000
 FAN_IN = 5
 
 
+def _facts(body: str) -> list[str]:
+    return body.split("\n", 1)[0].removeprefix("// facts:").split() if body.startswith("// facts:") else []
+
+
 def text(*names: str, **values: int) -> str:
     """The programs of these names as one, with declarations of the facts that their first lines name; values stand in for words in capitals."""
     bodies = [(PROGRAMS / f"{n}.dl").read_text(encoding="utf-8") for n in names]
-    facts = sorted({f for b in bodies if b.startswith("// facts:") for f in b.split("\n", 1)[0].removeprefix("// facts:").split()})
+    facts = sorted({f for b in bodies for f in _facts(b)})
     out = FACTS.declarations(facts) + "\n".join(bodies)
     for word, value in values.items():
         out = out.replace(word, str(value))
     return out
 
 
+def empty_facts(spark: SparkSession, *names: str) -> dict[str, DataFrame]:
+    """Empty tables of all facts that the programs of these names read: for callers who have only some of them."""
+    return {f: FACTS.frame(spark, f, []) for n in names for f in _facts((PROGRAMS / f"{n}.dl").read_text(encoding="utf-8"))}
+
+
 def call_graph() -> Stage:
     return Stage("call_graph", text("call_graph"))
 
 
 def points_to(budget: int = BUDGET) -> Stage:
     """Fields by name, then only those that are read, then none told apart: whichever is within the budget first."""
-    return Stage("points_to", text("points_to", "points_to_full", BUDGET=budget), [text("points_to", "points_to_selective", BUDGET=budget), text("points_to", "points_to_merged", BUDGET=2**31 - 1)])
+    return Stage("points_to", text("behaviours", "points_to", "points_to_full", BUDGET=budget), [text("behaviours", "points_to", "points_to_selective", BUDGET=budget), text("behaviours", "points_to", "points_to_merged", BUDGET=2**31 - 1)])
 
 
 def values(budget: int = BUDGET) -> Stage:
@@ -42,7 +53,7 @@ def coverage() -> Analysis:
     return Analysis(
         "coverage",
         "gaps in the facts",
-        text("coverage"),
+        text("behaviours", "coverage"),
         {
             "imprecision_event": Output("Imprecision", "info", "{relation} is not exact in {func}: {reason}", "func"),
             "coverage_supervisor_no_children": Output("Supervisor without children", "info", "no child of {supervisor} was found", "supervisor"),
@@ -53,6 +64,35 @@ def coverage() -> Analysis:
     )
 
 
+def structure() -> Analysis:
+    return Analysis(
+        "structure",
+        "process trees and names that don't fit together",
+        text("behaviours", "structure"),
+        {
+            "supervisor_registered_as_worker": Output("Supervisor registered as a worker", "high", "{supervisor} starts the supervisor {child} as a worker at {position}", "child", key=["supervisor", "child"]),
+            "own_spec_registered_as_worker": Output("Supervisor registered as a worker", "high", "{child}'s own specification makes it a worker of {supervisor}", "child", key=["child"]),
+            "consumer_supervisor_permanent_child": Output("Consumers restarted for ever", "high", "{supervisor} restarts {child} whenever it ends", "supervisor"),
+            "duplicate_process_name": Output("Name registered twice", "high", "{mod1} and {mod2} both register {name}", "mod1", key=["name", "mod1", "mod2"], earliest="site1"),
+            "global_register_risk": Output("Global name without a resolver", "medium", "{func} registers {name} globally and doesn't say what happens when two nodes have it", "func", key=["func", "name"], earliest="site"),
+        },
+    )
+
+
+def exposure() -> Analysis:
+    return Analysis(
+        "exposure",
+        "secrets that print, and peers that nobody checks",
+        text("exposure"),
+        {
+            "unredacted_secret": Output("Secret that prints", "high", "{field} of {mod}, a {kind}, prints with it ({aware}; {via})", "anchor", key=["mod", "field"]),
+            "unredacted_secret_inferred": Output("Likely secret that prints", "medium", "{field} of {mod}, a {kind} at {permille} permille, prints with it ({aware}; {via})", "anchor", key=["mod", "field"], confidence="low"),
+            "disables_verification": Output("Peer not checked", "high", "{func} turns off the check of its peer", "func", key=["func"], earliest="id"),
+            "relies_on_default_verification": Output("Check of the peer left to the default", "medium", "{func} calls {api} and leaves the check of its peer to the default", "func", key=["func", "api"], earliest="id"),
+        },
+    )
+
+
 def waits(fan_in: int = FAN_IN) -> Analysis:
     return Analysis(
         "waits",

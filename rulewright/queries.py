@@ -137,8 +137,8 @@ out(r, n) :- region(_, r), nation(k, n, _), k < 3.
 .output out""", "SELECT DISTINCT r_name AS r, n_name AS n FROM region, nation WHERE n_nationkey < 3")
 register("q_antijoin", "customer orders", """
 .decl out(key: long, name: symbol)
-out(c, n) :- customer(c, n, _, _), !orders(_, c, _, _).
-.output out""", "SELECT DISTINCT c_custkey AS key, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+out(c, n) :- customer(c, n, _, _), !orders(_, c, "P", _).
+.output out""", "SELECT DISTINCT c_custkey AS key, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 register("q_antijoin_subset", "orders lineitem", """
 .decl out(order: long)
 out(o) :- orders(o, _, s, _), !lineitem(o, _, _, _, "R", _), s != "O".
@@ -218,10 +218,12 @@ register("q_intersect", "customer supplier", """
 .decl out(nation: number)
 out(n) :- customer(_, _, n, "BUILDING"), supplier(_, _, n).
 .output out""", "SELECT c_nationkey AS nation FROM customer WHERE c_mktsegment = 'BUILDING' INTERSECT SELECT s_nationkey FROM supplier")
-register("q_difference", "customer supplier", """
-.decl out(nation: number)
-out(n) :- customer(_, _, n, _), !supplier(_, _, n).
-.output out""", "SELECT c_nationkey AS nation FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+register("q_difference", "lineitem", """
+.decl accepted(part: long, supplier: long)
+accepted(p, s) :- lineitem(_, p, s, _, "A", _).
+.decl out(part: long, supplier: long)
+out(p, s) :- lineitem(_, p, s, _, "R", _), !accepted(p, s).
+.output out""", "SELECT l_partkey AS part, l_suppkey AS supplier FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A'")
 register("q_input_and_rules", "follows", """
 .decl out(x: symbol, y: symbol)
 out(x, y) :- follows(x, y).
@@ -330,13 +332,19 @@ call_edge(to_string(x), to_string(y)) :- chain(x, y).
 .decl runs_elsewhere(x: symbol, y: symbol)
 runs_elsewhere(to_string(x), to_string(y)) :- chain(x, y), y = x + 4, x % 2 = 0.
 .decl in_module(f: symbol, m: symbol)
-in_module(to_string(k), to_string(r)) :- nation(k, _, r).
+in_module(to_string(k), to_string(k / 7)) :- nation(k, _, _).
 .decl awaits_task(x: symbol, site: symbol, y: symbol)
 awaits_task(to_string(x), "s", to_string(y)) :- chain(x, y), x = 8.
 .decl call_site(x: symbol, y: symbol, site: symbol)
 call_site(to_string(x), to_string(y), cat(to_string(x), cat(":", to_string(y)))) :- chain(x, y).
 .decl handed(site: symbol, x: symbol, y: symbol)
 handed("h", "2", "9").
+handed("back", "24", "20").
+runs_elsewhere("24", "20").
+.decl argument(x: symbol, y: symbol, k: number, p: number)
+argument(to_string(x), to_string(y), (x + y) % 3, x % 3) :- chain(x, y).
+.decl argument_reads(x: symbol, y: symbol, k: number, p: symbol)
+argument_reads(to_string(x), to_string(y), x % 2, "head") :- chain(x, y), x % 5 = 0.
 .decl closure_def(x: symbol, y: symbol)
 closure_def("3", "11").
 .decl fun_ref(x: symbol, y: symbol)
@@ -349,14 +357,18 @@ _STEP = f"{CHAIN_SQL}, e AS (SELECT CAST(x AS VARCHAR) AS x, CAST(y AS VARCHAR)
 _UP = "r AS (SELECT '20' AS f UNION SELECT e.x FROM r JOIN e ON e.y = r.f WHERE {})"
 _DOWN = "r AS (SELECT '2' AS f UNION SELECT e.y FROM r JOIN e ON e.x = r.f WHERE {})"
 _SAME, _CUT = "NOT (j = i + 4 AND i % 2 = 0)", "NOT (x = '7' AND y = '8')"
-_LOCAL = "(SELECT n_regionkey FROM nation WHERE n_nationkey = i) = (SELECT n_regionkey FROM nation WHERE n_nationkey = j)"
+_LOCAL = "i // 7 = j // 7"
 for _form, _start, _walk in (("Up", 'w.seed("20", "20").\nout(f) :- w.reaches(f, "20").', _UP), ("UpSet", 'w.seed("20").\nout(f) :- w.reaches(f).', _UP), ("Down", 'w.root("2", "2").\nout(f) :- w.reaches("2", f).', _DOWN), ("DownSet", 'w.root("2").\nout(f) :- w.reaches(f).', _DOWN)):
     for _step, _cuts, _where in (("Plain", False, "true"), ("Kept", True, _CUT), ("Same", False, _SAME), ("SameKept", True, f"{_SAME} AND {_CUT}"), ("Holding", False, f"({_SAME} OR x = '8')"), ("Local", False, _LOCAL), ("LocalSame", False, f"{_LOCAL} AND {_SAME}"), ("LocalSameKept", True, f"{_LOCAL} AND {_SAME} AND {_CUT}"), ("LocalHolding", False, f"{_LOCAL} AND ({_SAME} OR x = '8')")):
         if _form in ("Up", "DownSet") or _step in ("Plain", "SameKept"):
             _cut = 'w.cut("7", "8").\n' if _cuts else ""
             register(f"q_walk_{_form}_{_step}".lower(), "chain nation", f"{_CALLS}.init w = {_form}{_step}\n{_cut}{_start}", f"WITH RECURSIVE {_STEP}, {_walk.format(_where)} SELECT f FROM r", root=PROGRAMS)
 register("q_walk_within", "chain nation", f'{_CALLS}.init w = DownWithin\n.init v = UpWithin\nw.root("2", "2").\nv.root("20", "20").\nw.bound(3).\nv.bound(2).\nout(cat("down ", f)) :- w.reaches(_, f, _).\nout(cat("up ", f)) :- v.reaches(_, f, _).', f"WITH RECURSIVE {_STEP}, r AS (SELECT '2' AS f, 0 AS d UNION SELECT e.y, d + 1 FROM r JOIN e ON e.x = r.f WHERE d < 3), q AS (SELECT '20' AS f, 0 AS d UNION SELECT e.x, d + 1 FROM q JOIN e ON e.y = q.f WHERE d < 2) SELECT DISTINCT 'down ' || f AS f FROM r UNION SELECT 'up ' || f FROM q", root=PROGRAMS)
-register("q_walk_unguarded", "chain nation", f'{_CALLS}.init w = UpUnguarded\n.init v = DownUnguarded\nw.seed("20", "20").\nw.guarded("16:20").\nv.root("2", "k").\nv.guarded("2:3", "k").\nv.guarded("7:8", "other").\nout(cat("up ", f)) :- w.reaches(f, _).\nout(cat("down ", f)) :- v.reaches(f, "k").', f"WITH RECURSIVE {_STEP}, s AS (SELECT x, y FROM e WHERE NOT (x = '16' AND y = '20') UNION SELECT '2', '9'), o AS (SELECT x, y FROM e WHERE NOT (x = '2' AND y = '3') UNION SELECT '3', '11' UNION SELECT '5', '20'), u AS (SELECT '20' AS f UNION SELECT s.x FROM u JOIN s ON s.y = u.f), d AS (SELECT '2' AS f UNION SELECT o.y FROM d JOIN o ON o.x = d.f) SELECT 'up ' || f AS f FROM u UNION SELECT 'down ' || f FROM d", root=PROGRAMS)
+register("q_walk_unguarded", "chain nation", f'{_CALLS}.init w = UpUnguarded\n.init v = DownUnguarded\nw.seed("20", "20").\nw.guarded("16:20").\nv.root("2", "k").\nv.guarded("2:3", "k").\nv.guarded("7:8", "other").\nout(cat("up ", f)) :- w.reaches(f, _).\nout(cat("down ", f)) :- v.reaches(f, "k").', f"WITH RECURSIVE {_STEP}, s AS (SELECT x, y FROM e WHERE NOT (x = '16' AND y = '20') UNION SELECT '2', '9' UNION SELECT '24', '20'), o AS (SELECT x, y FROM e WHERE NOT (x = '2' AND y = '3') UNION SELECT '3', '11' UNION SELECT '5', '20'), u AS (SELECT '20' AS f UNION SELECT s.x FROM u JOIN s ON s.y = u.f), d AS (SELECT '2' AS f UNION SELECT o.y FROM d JOIN o ON o.x = d.f) SELECT 'up ' || f AS f FROM u UNION SELECT 'down ' || f FROM d", root=PROGRAMS)
+
+register("q_walk_unguarded_same", "chain nation", f'{_CALLS}.init w = UpUnguardedSame\nw.seed("20", "20").\nw.guarded("16:20").\nw.guarded("7:8").\nw.guarded("4:8").\nout(f) :- w.reaches(f, _).', f"WITH RECURSIVE {_STEP}, s AS (SELECT x, y FROM e WHERE x || ':' || y NOT IN ('16:20', '7:8', '4:8') UNION SELECT '2', '9'), u AS (SELECT '20' AS f UNION SELECT s.x FROM u JOIN s ON s.y = u.f) SELECT f FROM u", root=PROGRAMS)
+register("q_walk_parameter", "chain nation", f'{_CALLS}.init w = UpParameter\nw.seed("20", 0, "20").\nout(cat(f, cat(":", to_string(p)))) :- w.reaches(f, p, _).', f"WITH RECURSIVE {_STEP}, r AS (SELECT 20 AS f, 0 AS p UNION SELECT e.i, e.i % 3 FROM r JOIN e ON e.j = r.f AND (e.i + e.j) % 3 = r.p) SELECT f || ':' || p AS f FROM r", root=PROGRAMS)
+register("q_walk_parameter_read", "chain nation", f'{_CALLS}.init w = UpParameterRead\nw.seed("20", "0", "20").\nout(cat(f, cat(":", p))) :- w.reaches(f, p, _).', f"WITH RECURSIVE {_STEP}, a AS (SELECT i, j, CAST((i + j) % 3 AS VARCHAR) AS k, CAST(i % 3 AS VARCHAR) AS p FROM e UNION SELECT i, j, CAST(i % 2 AS VARCHAR), 'head' FROM e WHERE i % 5 = 0), r AS (SELECT 20 AS f, '0' AS p UNION SELECT a.i, a.p FROM r JOIN a ON a.j = r.f AND a.k = r.p) SELECT f || ':' || p AS f FROM r", root=PROGRAMS)
 
 # Components and stages.
 register("q_component", "follows chain", """
@@ -416,22 +428,23 @@ def _committed(spark: SparkSession, sf_dir: str, states: list[str]):
     return session, last
 
 
-@query("q_commit", _FINAL.format("o_orderkey >= 100"))
+@query("q_commit", _FINAL.format("o_orderpriority >= '2'"))
 def q_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _committed(spark, sf_dir, ["o_orderkey < 400", "o_orderkey >= 100"])[0].result("out")
+    return _committed(spark, sf_dir, ["o_orderpriority < '4'", "o_orderpriority >= '2'"])[0].result("out")
 
 
-_DELTA = f"SELECT *, CAST(-1 AS INTEGER) AS __diff FROM (({_FINAL.format('o_orderkey < 400')}) EXCEPT ({_FINAL.format('o_orderkey >= 100')})) UNION ALL SELECT *, 1 FROM (({_FINAL.format('o_orderkey >= 100')}) EXCEPT ({_FINAL.format('o_orderkey < 400')}))"
+_OLD, _NEW = _FINAL.format("o_orderpriority < '4'"), _FINAL.format("o_orderpriority >= '2'")
+_DELTA = f"SELECT *, CAST(-1 AS INTEGER) AS __diff FROM (({_OLD}) EXCEPT ({_NEW})) UNION ALL SELECT *, 1 FROM (({_NEW}) EXCEPT ({_OLD}))"
 
 
 @query("q_commit_delta", _DELTA)
 def q_commit_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _committed(spark, sf_dir, ["o_orderkey < 400", "o_orderkey >= 100"])[1].deltas["out"]
+    return _committed(spark, sf_dir, ["o_orderpriority < '4'", "o_orderpriority >= '2'"])[1].deltas["out"]
 
 
-@query("q_commit_retract", _FINAL.format("o_orderkey < 200"))
+@query("q_commit_retract", _FINAL.format("o_orderpriority < '3'"))
 def q_commit_retract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _committed(spark, sf_dir, ["true", "o_orderkey < 200"])[0].result("out")
+    return _committed(spark, sf_dir, ["true", "o_orderpriority < '3'"])[0].result("out")
 
 
 @query("q_consolidate", "SELECT o_custkey AS c, CAST(sum(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN -1 ELSE 0 END) AS INTEGER) AS __diff FROM orders GROUP BY 1 HAVING sum(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN -1 ELSE 0 END) <> 0")
@@ -456,7 +469,7 @@ def q_evidence_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _orders_as_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     severity = F.element_at(F.array(*map(F.lit, findings.SEVERITIES)), F.substring("o_orderpriority", 1, 1).cast("int"))
-    return o.select("o_orderkey", F.col("o_custkey").cast("string").alias("module"), F.col("o_orderstatus").alias("analysis"), F.col("o_orderpriority").alias("title"), severity.alias("severity"), F.lit("high").alias("confidence"))
+    return o.select("o_orderkey", "o_orderdate", F.col("o_custkey").cast("string").alias("module"), F.col("o_orderstatus").alias("analysis"), F.col("o_orderpriority").alias("title"), severity.alias("severity"), F.lit("high").alias("confidence"))
 
 
 @query("q_retier", """WITH t AS (SELECT CAST(c_custkey AS VARCHAR) AS module, CASE WHEN c_nationkey < 5 THEN 'structural' ELSE 'prior' END AS basis, CASE WHEN c_nationkey < 5 THEN 'medium' ELSE 'low' END AS c FROM customer WHERE c_mktsegment = 'BUILDING'),
@@ -469,13 +482,13 @@ def q_retier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.retier(_orders_as_findings(spark, sf_dir), tooling, floor="low").select("o_orderkey", "severity", "confidence", "basis")
 
 
-_BASELINE = "WITH n AS (SELECT o_orderstatus AS analysis, o_orderpriority AS title, 1 AS d FROM orders WHERE o_orderkey >= 300 UNION ALL SELECT o_orderstatus, o_orderpriority, -1 FROM orders WHERE o_orderkey < 600), s AS (SELECT analysis, title, sum(d) AS d FROM n GROUP BY 1, 2 HAVING sum(d) <> 0) SELECT analysis, title, CAST(greatest(d, 0) AS BIGINT) AS added, CAST(greatest(-d, 0) AS BIGINT) AS removed FROM s"
+_BASELINE = "WITH n AS (SELECT o_orderstatus AS analysis, o_orderpriority AS title, 1 AS d FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01' UNION ALL SELECT o_orderstatus, o_orderpriority, -1 FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'), s AS (SELECT analysis, title, sum(d) AS d FROM n GROUP BY 1, 2 HAVING sum(d) <> 0) SELECT analysis, title, CAST(greatest(d, 0) AS BIGINT) AS added, CAST(greatest(-d, 0) AS BIGINT) AS removed FROM s"
 
 
 @query("q_baseline_diff", _BASELINE)
 def q_baseline_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _orders_as_findings(spark, sf_dir)
-    new, old = (f.filter(c).select("analysis", "title") for c in ("o_orderkey >= 300", "o_orderkey < 600"))
+    new, old = (f.filter(c).select("analysis", "title") for c in ("o_orderdate >= timestamp'1994-01-01'", "o_orderdate < timestamp'1997-01-01'"))
     return findings.summary(findings.multiset_difference(new, old))
 
 

@@ -85,36 +85,67 @@ _FACTS = {
 bif_call(id: instr_id, caller: func_id, mod: symbol, func: symbol, arity: number, fail: number)
 closure_def(parent_func: func_id, closure_func: func_id)
 conditional_call(id: instr_id)
+def_use(def_id: instr_id, use_id: instr_id)
 fun_ref(caller: func_id, callee: func_id)
 function_def(func: func_id, mod: symbol, name: symbol, arity: number, exported: number)
+literal_value(id: instr_id, reg: symbol, val: symbol)
 local_call(id: instr_id, caller: func_id, target: func_id, arity: number)
 remote_call(id: instr_id, caller: func_id, mod: symbol, func: symbol, arity: number)
 resolved_apply(id: instr_id, caller: func_id, target: func_id)
+tuple_literal(id: instr_id, reg: symbol, tag: symbol, size: number)
 """,
     "extractor": """
+added_child(supervisor: symbol, child_mod: symbol, restart: symbol, type: symbol, caller_func: func_id)
 async_cast(caller_func: func_id, callee_mod: symbol)
 call_arg(caller: func_id, callee: func_id, arg_pos: number, value: symbol)
 call_arg_derived(caller: func_id, callee: func_id, arg_pos: number, param_pos: number)
 call_arg_var(id: instr_id, caller: func_id, callee: func_id, arg_pos: symbol, via: symbol, var_kind: symbol, var: symbol)
 call_result_var(id: instr_id, func: func_id, callee: func_id)
+child_spec_option(mod: symbol, field: symbol, key: symbol, default: symbol)
+child_spec_restart(mod: symbol, restart: symbol)
+child_spec_type(mod: symbol, type: symbol)
 dynamic_child(supervisor: symbol, child_mod: symbol, caller_func: func_id)
+dynamic_child_restart(supervisor: symbol, child_mod: symbol, caller_func: func_id, restart: symbol)
 ets_new(id: instr_id, func: func_id, name: symbol)
 ets_operation(id: instr_id, func: func_id, table_ref: symbol, operation: symbol, kind: symbol)
 field_load(func: func_id, load: symbol, field: symbol, var_kind: symbol, var: symbol)
 field_store(func: func_id, term: symbol, field: symbol, var_kind: symbol, var: symbol)
+fun_handed(id: instr_id, caller: func_id, fun: func_id, arg_pos: symbol)
+global_register(id: instr_id, func: func_id, name: symbol, arity: symbol)
 implements_behaviour(mod: symbol, behaviour: symbol)
 imprecision(category: symbol, func: func_id, relation: symbol, reason: symbol)
+inspect_derived(mod: symbol)
+inspect_shows(mod: symbol, field: symbol)
+lineless_schema(mod: symbol)
 named_process(mod: symbol, name: symbol)
 process_call_var(id: instr_id, func: func_id, api_kind: symbol, var_kind: symbol, var: symbol)
+process_register(id: instr_id, func: func_id, name: symbol, method: symbol)
+process_register_var(id: instr_id, func: func_id, name: symbol, var_kind: symbol, var: symbol)
 process_start(id: instr_id, func: func_id, process: symbol, kind: symbol, runs: symbol)
+redacted_field(mod: symbol, field: symbol)
 return_var(func: func_id, var_kind: symbol, var: symbol)
+schema_field(mod: symbol, field: symbol, type: symbol)
+shorthand_arg(supervisor: symbol, child_mod: symbol, at: symbol, shape: symbol)
+shorthand_option(supervisor: symbol, child_mod: symbol, at: symbol, key: symbol, value: symbol)
 supervisor(mod: symbol, strategy: symbol)
 supervisor_child(supervisor: symbol, position: number, child_mod: symbol, restart: symbol, type: symbol)
+supervisor_child_form(supervisor: symbol, position: number, form: symbol)
 sync_call(caller_func: func_id, callee_mod: symbol)
+table_allocation(id: instr_id, func: func_id, table: symbol)
+table_use(id: instr_id, func: func_id, var_kind: symbol, var: symbol)
 term_allocation(func: func_id, term: symbol, shape: symbol, tag: symbol, arity: symbol)
+tls_connect(id: instr_id, func: func_id, api: symbol, options: symbol)
+tls_server_side(id: instr_id, func: func_id)
+tls_verification(id: instr_id, func: func_id, setting: symbol)
+""",
+    "priors": """
+prior_sensitive(subject_kind: symbol, mod: symbol, name: symbol, kind: symbol, detail: symbol, detail_permille: number, permille: number)
 """,
     "staged": """
 call_edge(caller: func_id, callee: func_id)
+named_pid(name: symbol, process: symbol)
+process_call(func: func_id, anchor: instr_id, site: instr_id, api_kind: symbol, process: symbol)
+server_process(process: symbol, mod: symbol)
 """,
 }
 FACTS = Catalogue(_spec(layer, line) for layer, lines in _FACTS.items() for line in lines.split("\n") if line)
