@@ -19,6 +19,18 @@ class MissingRelationError(Exception):
     """An input without facts, or a name that no relation has."""
 
 
+class UnknownRelationError(MissingRelationError):
+    """A name that no input or output of the program has."""
+
+
+class ReadFailed(Exception):
+    """An input whose rows couldn't be read."""
+
+
+class WriteFailed(Exception):
+    """A table that couldn't be written to the shared folder."""
+
+
 class BadRowError(Exception):
     """A fact of the wrong width, or a field that isn't of its type."""
 

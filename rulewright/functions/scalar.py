@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
@@ -46,20 +43,9 @@ def matches(pattern, text: Column) -> Column:
         whole = rf"(?d)\A(?:{pattern})\z"
         return text.rlike(whole) if valid_pattern(whole) else F.lit(False)
 
-    @F.pandas_udf("boolean")
-    def fits(patterns: pd.Series, texts: pd.Series) -> pd.Series:
-        known: dict[str, re.Pattern | None] = {}
-        out = []
-        for p, t in zip(patterns, texts, strict=True):
-            if p not in known:
-                try:
-                    known[p] = re.compile(p)
-                except re.error:
-                    known[p] = None
-            out.append(bool(known[p] and known[p].fullmatch(t)))
-        return pd.Series(out, dtype="bool")
-
-    return fits(pattern, text)
+    whole = F.concat(F.lit(r"(?d)\A(?:"), pattern, F.lit(r")\z"))
+    compiled = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), whole)
+    return F.coalesce(F.regexp_like(text, F.when(compiled.isNotNull(), whole)), F.lit(False))
 
 
 def _power(a: Column, b: Column) -> Column:

@@ -53,12 +53,12 @@ def _scan(df: DataFrame) -> bool:
 class Solver:
     """The relations of a plan over bound inputs, each made when it is first asked for."""
 
-    def __init__(self, spark: SparkSession, plan: Plan, facts: dict[str, DataFrame], nulls: str = "reject", doubling: bool = True):
+    def __init__(self, spark: SparkSession, plan: Plan, facts: dict[str, DataFrame], nulls: str = "reject", doubling: bool = True, bound: bool = False):
         missing = sorted(set(plan.inputs) - set(facts))
         if missing:
             raise MissingRelationError(f"no facts for {', '.join(missing)}")
         self.spark, self.plan, self.doubling = spark, plan, doubling
-        self.given = {n: bind(plan, n, facts[n], nulls) for n in plan.inputs}
+        self.given = {n: facts[n] if bound else bind(plan, n, facts[n], nulls) for n in plan.inputs}
         self.known: dict[str, DataFrame] = {}
         self.kept: list[DataFrame] = []
         self.tables: list[Table] = []

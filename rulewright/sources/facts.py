@@ -50,17 +50,26 @@ def decode_rows(text: str) -> list[list]:
 
 
 def escaped(c: Column) -> Column:
+    """A column's text with escapes. In a value whose bytes aren't UTF-8 every byte that is no plain character is escaped."""
+    plain = c
     for raw, to in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
-        c = F.replace(c, F.lit(raw), F.lit(to))
-    return c
+        plain = F.replace(plain, F.lit(raw), F.lit(to))
+    byte = lambda h: F.when(h.between("20", "7E") & (h != "5C"), F.unhex(h).cast("string")).otherwise(F.concat(F.lit("\\x"), h))
+    bytewise = F.array_join(F.transform(F.regexp_extract_all(F.hex(c.cast("binary")), F.lit(".."), F.lit(0)), byte), "")
+    return F.when(F.is_valid_utf8(c), plain).otherwise(bytewise)
 
 
 def unescaped(c: Column) -> Column:
-    """The characters of an escaped column; an escaped byte stays escaped, as strings can't hold it."""
+    """The value of an escaped column. Escaped bytes are put back as bytes, which need not be UTF-8 together: Spark's strings hold them as they are."""
     held = F.replace(c, F.lit("\\\\"), F.lit("\\\x00"))  # a doubled backslash must not start an escape
     for to, raw in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r")):
         held = F.replace(held, F.lit(to), F.lit(raw))
-    return F.replace(held, F.lit("\\\x00"), F.lit("\\"))
+    plain = F.replace(held, F.lit("\\\x00"), F.lit("\\"))
+    tokens = F.regexp_extract_all(c, F.lit(r"(?s)\\x[0-9A-Fa-f]{2}|\\.|[^\\]+|\\$"), F.lit(0))
+    special = F.create_map(*(F.lit(x) for pair in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\\\", "\\")) for x in pair))
+    one = lambda t: F.when(t.rlike(r"^\\x[0-9A-Fa-f]{2}$"), F.unhex(F.substr(t, F.lit(3), F.lit(2)))).otherwise(F.coalesce(special[t], t).cast("binary"))
+    bytewise = F.aggregate(F.transform(tokens, one), F.lit(b""), lambda acc, x: F.concat(acc, x)).cast("string")
+    return F.when(c.rlike(r"\\x[0-9A-Fa-f]{2}"), bytewise).otherwise(plain)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -29,7 +29,11 @@ class Table:
         self.spark, self.schema = df.sparkSession, df.schema
         self.path = f"{shared_root(self.spark)}/rulewright/{tag}-{uuid.uuid4().hex}"
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(self.path)
+        try:
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(self.path)
+        except Exception:
+            delete(self.spark, self.path)
+            raise
         self.rows: int = seen.get["n"]
 
     def read(self) -> DataFrame:

@@ -1,20 +1,25 @@
 """Kept programs: commits of changed inputs, output deltas, cutoffs, limits that poison, a solve cache and streams.
 
-A commit names the inputs that changed. Inputs whose rows are what they were are dropped from it; outputs that no changed
-input reaches keep their tables. All state is tables in the shared folder.
+A commit names the inputs that changed, or the rows that came and went. Inputs whose rows are what they were are dropped from it; relations that no change
+reaches keep their tables, and the others take up the change. All state is tables in the shared folder; what a commit replaces is dropped by the one after it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rulewright.errors import LimitExceeded, MissingRelationError, PoisonedSession, StalePreviousError
+from rulewright.errors import BadRowError, LimitExceeded, MissingRelationError, PoisonedSession, ProgramError, ReadFailed, StalePreviousError, UnknownRelationError, WriteFailed
 from rulewright.operators.solve import Solver, bind
-from rulewright.plans.analyse import Plan, analyse, dependencies
+from rulewright.plans.analyse import Plan, analyse
 from rulewright.plans.syntax import Program, parse
-from rulewright.sources.shared import Table
+from rulewright.sources.shared import Table, read_all
+
+from .maintain import Relations
 
 
 def digest(df: DataFrame) -> tuple:
@@ -42,7 +47,7 @@ def consolidate(signed: DataFrame) -> DataFrame:
 
 @dataclass
 class Commit:
-    """What a commit changed: the epoch, and for each changed output its rows and its signed rows."""
+    """What a commit changed: the epoch, and for each changed output its rows and its signed rows. They can be read until the next commit but one."""
 
     epoch: int
     changed: dict[str, DataFrame] = field(default_factory=dict)
@@ -50,80 +55,99 @@ class Commit:
     skipped: list[str] = field(default_factory=list)
 
 
+def _reason(e: Exception, relation: str) -> Exception:
+    """The typed error of an input that couldn't be written as a table."""
+    text = str(e)
+    first = next((x.strip() for x in text.split("\n") if "[" in x), text[:200])
+    if "USER_RAISED_EXCEPTION" in text or "CAST_" in text:
+        return BadRowError(f"{relation}: {first}")
+    if any(x in text for x in ("FAILED_READ_FILE", "PATH_NOT_FOUND", "FileNotFound", "FILE_NOT_EXIST")):
+        return ReadFailed(f"{relation}: {first}")
+    return WriteFailed(f"{relation}: {first}")
+
+
 class Session:
-    """A program that is kept over commits."""
+    """A program that is kept over commits, each of which costs what it changes: see Relations."""
 
     def __init__(self, spark: SparkSession, program: str | Program | Plan, nulls: str = "reject", probes: list[str] = ()):
         self.spark = spark
         self.plan = program if isinstance(program, Plan) else analyse(parse(program) if isinstance(program, str) else program, probes)
         self.nulls, self.epoch, self.poisoned = nulls, 0, False
-        self.inputs: dict[str, Table] = {}
-        self.input_digests: dict[str, tuple] = {}
-        self.outputs: dict[str, Table] = {}
-        self.output_digests: dict[str, tuple] = {}
-        self.affects = self._affects()
-
-    def _affects(self) -> dict[str, set[str]]:
-        """The outputs that each input reaches."""
-        needs: dict[str, set[str]] = {}
-        for s in self.plan.strata:
-            own = {d for n in s.relations for r in self.plan.rules.get(n, []) for d, _ in dependencies(r)}
-            reach = {n for n in s.relations if n in self.plan.inputs} | set().union(*(needs.get(d, set()) for d in own))
-            needs |= {n: reach for n in s.relations}
-        return {i: {o for o in self.plan.outputs if i in needs[o]} for i in self.plan.inputs}
+        self.relations = Relations(spark, self.plan)
+        self.old: list[Table] = []
 
     def commit(self, facts: dict[str, DataFrame], previous: int | None = None, rewrite: bool = False) -> Commit:
         """Replaces the named inputs. The first commit names them all. previous, if given, must be the session's epoch."""
+        return self._commit({n: ("replace", df) for n, df in facts.items()}, previous, rewrite)
+
+    def change(self, added: dict[str, DataFrame] | None = None, removed: dict[str, DataFrame] | None = None, previous: int | None = None) -> Commit:
+        """Adds rows to inputs and removes rows from others: the rest of an input isn't read to be written again when rows are only added."""
+        both = sorted(set(added or {}) & set(removed or {}))
+        if both:
+            raise ProgramError(f"{', '.join(both)}: rows are added and removed in commits of their own")
+        return self._commit({n: ("add", df) for n, df in (added or {}).items()} | {n: ("remove", df) for n, df in (removed or {}).items()}, previous)
+
+    def _commit(self, changes: dict[str, tuple[str, DataFrame]], previous: int | None, rewrite: bool = False) -> Commit:
         if self.poisoned:
             raise PoisonedSession("an earlier commit met a limit")
         if previous is not None and previous != self.epoch:
             raise StalePreviousError(f"the session is at {self.epoch}, not {previous}")
-        unknown = sorted(set(facts) - set(self.plan.inputs))
+        unknown = sorted(set(changes) - set(self.plan.inputs))
         if unknown:
-            raise MissingRelationError(f"no input is named {', '.join(unknown)}")
-        if not self.epoch and set(self.plan.inputs) - set(facts):
-            raise MissingRelationError(f"the first commit lacks {', '.join(sorted(set(self.plan.inputs) - set(facts)))}")
-        new, digests = {}, {}
-        for n, df in facts.items():
-            table = Table(bind(self.plan, n, df, self.nulls).distinct(), f"input-{n}".replace(".", "-"))
-            digests[n] = digest(table.read())
-            if digests[n] == self.input_digests.get(n):
-                table.drop()
-            else:
-                new[n] = table
-        first = not self.epoch
-        due = set(self.plan.outputs) if first or rewrite else set().union(*(self.affects[n] for n in new)) if new else set()
-        out = Commit(self.epoch + 1, skipped=sorted(set(self.plan.outputs) - due))
-        tables = self.inputs | new
+            raise UnknownRelationError(f"no input is named {', '.join(unknown)}")
+        if not self.epoch and set(self.plan.inputs) - set(changes):
+            raise MissingRelationError(f"the first commit lacks {', '.join(sorted(set(self.plan.inputs) - set(changes)))}")
+        now, inputs = self.relations.copy(), {}
         try:
-            made = self._solve(tables, due) if due else {}
-        except LimitExceeded:
-            self.poisoned = True
+            for n, (how, df) in changes.items():
+                try:
+                    if n not in now.given and how != "replace":
+                        now.given[n] = [now.table(self.spark.createDataFrame([], self.plan.schema(n)), f"input-{n}")]
+                    inputs[n] = getattr(now, how)(n, bind(self.plan, n, df, self.nulls).distinct())
+                except (PySparkException, Py4JJavaError) as e:
+                    raise _reason(e, n) from e
+            moved = now.update(inputs) if not self.epoch or any(came or went for came, went in inputs.values()) else {}
+        except Exception as e:
+            self.poisoned = isinstance(e, LimitExceeded)
+            for t in now.made:
+                t.drop()
             raise
-        for n, table in made.items():
-            d = digest(table.read())
-            if d == self.output_digests.get(n) and not rewrite:
-                table.drop()
-                out.skipped.append(n)
-                continue
-            old = self.outputs.get(n)
-            out.changed[n], out.deltas[n] = table.read(), difference(table.read(), old.read() if old else None)
-            self.outputs[n], self.output_digests[n] = table, d
-        self.inputs, self.input_digests = tables, self.input_digests | digests
         self.epoch += 1
+        out = Commit(self.epoch)
+        for n in sorted(self.plan.outputs):
+            if n in moved or rewrite or self.epoch == 1:
+                came, went = moved.get(n, ([], []))
+                signed = [read_all(t).select("*", F.lit(sign).alias("__diff")) for t, sign in ((came, 1), (went, -1)) if t]
+                empty = now.read(n).limit(0).select("*", F.lit(1).alias("__diff"))
+                out.changed[n], out.deltas[n] = now.read(n), reduce(DataFrame.unionAll, signed) if signed else empty
+            else:
+                out.skipped.append(n)
+        # What this commit replaced may be read by what it returns; what the one before it left goes now.
+        kept = now.tables()
+        for t in self.old:
+            if t.path not in kept:
+                t.drop()
+        self.old = [t for t in (*self.relations.tables().values(), *now.made) if t.path not in kept]
+        now.made = []
+        self.relations = now
         return out
 
-    def _solve(self, tables: dict[str, Table], due: set[str]) -> dict[str, Table]:
-        solver = Solver(self.spark, self.plan, {n: t.read() for n, t in tables.items()})
-        try:
-            return {n: Table(solver.relation(n), f"output-{n}".replace(".", "-")) for n in sorted(due)}
-        finally:
-            solver.release()
+    @property
+    def output_digests(self) -> dict[str, tuple]:
+        return {n: digest(self.result(n)) for n in sorted(self.plan.outputs)}
 
     def result(self, output: str) -> DataFrame:
-        if output not in self.outputs:
-            raise MissingRelationError(f"no output is named {output}, or nothing was committed")
-        return self.outputs[output].read()
+        if output not in self.plan.outputs:
+            raise UnknownRelationError(f"no output is named {output}")
+        if not self.epoch:
+            raise MissingRelationError("nothing was committed")
+        return self.relations.read(output)
+
+    def close(self) -> None:
+        """Drops all tables; nothing that came from the session can be read afterwards."""
+        for t in {**self.relations.tables(), **{t.path: t for t in self.old}}.values():
+            t.drop()
+        self.relations, self.old, self.epoch = Relations(self.spark, self.plan), [], 0
 
 
 class SolveCache:
@@ -152,15 +176,13 @@ class SolveCache:
 
 
 def drive(stream: DataFrame, session: Session, relation: str, checkpoint: str, sink=None):
-    """Starts a streaming query whose batches are added to one input of a session and committed; sink(commit) gets the changes.
+    """Starts a streaming query whose batches are added to one input of a session and committed; sink(commit) gets the changes. Earlier batches aren't written again.
 
     A batch that is run again after a failure adds no row twice, as relations are sets.
     """
 
     def on_batch(batch: DataFrame, _: int) -> None:
-        old = session.inputs.get(relation)
-        rows = bind(session.plan, relation, batch, session.nulls)
-        commit = session.commit({relation: old.read().unionAll(rows) if old else rows})
+        commit = session.change({relation: batch})
         if sink:
             sink(commit)
 
