@@ -402,6 +402,11 @@ def q_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.to_text(_orders_as_findings(spark, sf_dir).withColumns({"file": F.col("module"), "line": F.col("o_orderkey").cast("int")}))
 
 
+@query("q_report_json", """SELECT '{"analysis":"' || o_orderstatus || '","severity":"' || (['info', 'low', 'medium', 'high', 'critical'])[CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] || '","file":"' || o_custkey || '","line":' || o_orderkey || ',"end_line":null,"title":"' || o_orderpriority || '","at_label":null,"detail":null,"help":null,"provenance":"structural","confidence":null,"related":[]}' AS value FROM orders""")
+def q_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.to_json(_orders_as_findings(spark, sf_dir).withColumns({"file": F.col("module"), "line": F.col("o_orderkey").cast("int")}))
+
+
 @query("q_fails", "SELECT count(*) > 1000 AS many, count(*) FILTER (o_orderpriority LIKE '5%') > 0 AS critical FROM orders")
 def q_fails(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _orders_as_findings(spark, sf_dir)
@@ -429,6 +434,30 @@ def q_block_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cfg.block_flow(_code(spark, sf_dir))
 
 
+@query("q_site_blocks", f"WITH {_BLOCKS} SELECT func, pos AS \"at\", kind, block FROM b WHERE kind <> 'plain'")
+def q_site_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = _code(spark, sf_dir)
+    return cfg.site_blocks(code, code.filter("kind <> 'plain'").select("func", "at", "kind"))
+
+
+# Of a user's first twelve events every fourth branches two instructions ahead, every ninth raises.
+_AHEAD = """code AS (SELECT func, pos, CASE WHEN event_id % 9 = 4 THEN 'raise' WHEN event_id % 4 = 0 AND pos + 2 <= n THEN 'branch' ELSE 'plain' END AS kind, CASE WHEN event_id % 9 <> 4 AND event_id % 4 = 0 AND pos + 2 <= n THEN pos + 2 END AS target
+  FROM (SELECT *, max(pos) OVER (PARTITION BY func) AS n FROM (SELECT CAST(user_id AS VARCHAR) AS func, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events) WHERE pos <= 12)),
+step AS (SELECT func, pos AS x, pos + 1 AS y FROM code WHERE kind <> 'raise' UNION SELECT func, pos, target FROM code WHERE target IS NOT NULL),
+fin AS (SELECT func, max(pos) + 1 AS done FROM code GROUP BY func)"""
+
+
+@query("q_conditional_sites", f"""WITH RECURSIVE {_AHEAD}, around AS (SELECT func, pos AS without, 1 AS x FROM code WHERE pos <> 1 UNION SELECT a.func, a.without, s.y FROM around a JOIN step s ON s.func = a.func AND s.x = a.x WHERE s.y <> a.without),
+plain AS (SELECT func, 1 AS x FROM fin UNION SELECT p.func, s.y FROM plain p JOIN step s ON s.func = p.func AND s.x = p.x)
+SELECT c.func, c.pos AS "at" FROM code c JOIN fin USING (func) WHERE NOT EXISTS (SELECT 1 FROM plain p WHERE p.func = c.func AND p.x = c.pos) OR EXISTS (SELECT 1 FROM around a WHERE a.func = c.func AND a.without = c.pos AND a.x = done)""")
+def q_conditional_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("func"), "event_id", "user_id", F.row_number().over(w.orderBy("event_id")).cast("long").alias("at")).filter("at <= 12").withColumn("n", F.max("at").over(w))
+    raises, ahead = F.col("event_id") % 9 == 4, (F.col("event_id") % 4 == 0) & (F.col("at") + 2 <= F.col("n"))
+    code = e.select("func", "at", F.when(raises, "raise").when(ahead, "branch").otherwise("plain").alias("kind"), F.when(~raises & ahead, F.col("at") + 2).alias("target"))
+    return cfg.conditional_sites(code, code.select("func", "at"))
+
+
 # A graph of nations: the chain, and links back from every fifth.
 _FLOW = f"{CHAIN_SQL}, flow AS (SELECT x, y FROM chain UNION SELECT n_nationkey, n_nationkey - 3 FROM nation WHERE n_nationkey % 5 = 0 AND n_nationkey >= 3)"
 _DOM = f"""{_FLOW}, reach AS (SELECT 0 AS n UNION SELECT f.y FROM reach JOIN flow f ON reach.n = f.x),

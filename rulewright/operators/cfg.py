@@ -172,6 +172,36 @@ def block_flow(code: DataFrame) -> DataFrame:
     return falls.unionByName(jumps).distinct()
 
 
+def site_blocks(code: DataFrame, sites: DataFrame) -> DataFrame:
+    """func, at, kind, block of every site (func, at, kind); a block goes by its first instruction."""
+    return sites.join(blocks(code), ["func", "at"]).select("func", "at", F.col("kind"), "block")
+
+
+def conditional_sites(code: DataFrame, sites: DataFrame) -> DataFrame:
+    """The rows of sites (func, at) that some completing path from the function's first instruction leaves out, or that no path reaches.
+
+    A path completes at a return, or at an instruction after which nothing follows; one that ends in a raise doesn't. A function without
+    completing paths has no conditional sites among those that are reached.
+    """
+    located = blocks(code)
+    last = code.join(located, ["func", "at"]).withColumn("after", F.lead("at").over(Window.partitionBy("func").orderBy("at")))
+    ends = last.filter("kind = 'return' or (kind <> 'raise' and kind <> 'jump' and after is null)").select("func", F.col("block").alias("src"), F.lit(-1).cast("long").alias("dst"))
+    flow = block_flow(code).select("func", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).unionByName(ends)
+    entries = located.groupBy("func").agg(F.min("block").cast("long").alias("entry"))
+    alone = entries.select("func", F.col("entry").alias("src"), F.col("entry").alias("dst"))
+
+    def run(func, succ, entry):
+        idom = immediate_dominators(succ, entry)
+        always, x = set(), -1
+        while x in idom and idom[x] != x:
+            x = idom[x]
+            always.add(x)
+        return sorted((func, b) for b in idom if b >= 0 and (b in always or -1 not in idom))
+
+    sure = _per_function(flow.unionByName(alone).distinct(), entries, run, "func string, block long")
+    return sites.join(located, ["func", "at"]).join(sure, ["func", "block"], "left_anti").select(*sites.columns)
+
+
 def reaching_definitions(spark, edges: DataFrame, defs: DataFrame) -> DataFrame:
     """func, block, var, at: definitions that reach the start of a block, by rules: made last in a block, and killed nowhere on the way.
 

@@ -133,9 +133,25 @@ def build(rows: DataFrame, builder: Callable[[dict], dict], schema: str) -> tupl
     return made.filter("__error is null").select(*names), made.filter("__error is not null").select(F.col("__row").alias("row"), F.col("__error").alias("error"))
 
 
+# The keys of a finding in a report, in order.
+REPORT_KEYS = {"analysis": "string", "severity": "string", "file": "string", "line": "int", "end_line": "int", "title": "string", "at_label": "string", "detail": "string", "help": "string", "provenance": "string", "confidence": "int", "related": "array<struct<label:string,file:string,line:int,end_line:int>>"}
+
+
 def to_json(findings: DataFrame) -> DataFrame:
-    """A line of JSON for each finding."""
-    return findings.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in findings.columns))).alias("value"))
+    """A line of JSON for each finding, with the report's keys in order; what a finding doesn't tell is null, provenance is structural and related is empty.
+
+    Confidence is a prior's probability in thousandths; a structural finding has none.
+    """
+    usual = {"provenance": F.lit("structural"), "related": F.array()}
+    have = dict(findings.dtypes)
+
+    def column(name: str, kind: str):
+        c = F.col(f"`{name}`") if name in have and not (name == "confidence" and have[name] == "string") else F.lit(None)
+        if name == "related" and have.get(name) == "array<string>":
+            c = F.transform(F.col("related"), lambda x: F.struct(x.alias("label"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("int").alias("end_line")))
+        return (F.coalesce(c.cast(kind), usual[name].cast(kind)) if name in usual else c.cast(kind)).alias(name)
+
+    return findings.select(F.to_json(F.struct(*(column(n, k) for n, k in REPORT_KEYS.items())), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def to_text(findings: DataFrame) -> DataFrame:

@@ -135,11 +135,11 @@ register("q_cross", "region nation", """
 .decl out(r: symbol, n: symbol)
 out(r, n) :- region(_, r), nation(k, n, _), k < 3.
 .output out""", "SELECT DISTINCT r_name AS r, n_name AS n FROM region, nation WHERE n_nationkey < 3")
-register("q_match_column", "nation region", """
-.decl out(r: symbol, n: symbol)
-out(r, n) :- region(_, r), nation(_, n, _), match(cat(substr(r, 0, 1), ".*[AEIOU]"), n).
-out("none", n) :- nation(_, n, _), match(cat("(", n), n).
-.output out""", "SELECT r_name AS r, n_name AS n FROM region, nation WHERE regexp_full_match(n_name, substr(r_name, 1, 1) || '.*[AEIOU]')")
+register("q_match_column", "nation part", """
+.decl out(size: number, n: symbol)
+out(s, n) :- part(_, _, _, _, s), nation(_, n, _), match(cat("N.*_[0-9]*", to_string(s)), n).
+out(0, n) :- nation(_, n, _), match(cat("(", n), n).
+.output out""", "SELECT DISTINCT p_size AS size, n_name AS n FROM part, nation WHERE regexp_full_match(n_name, 'N.*_[0-9]*' || p_size)")
 register("q_antijoin", "customer orders", """
 .decl out(key: long, name: symbol)
 out(c, n) :- customer(c, n, _, _), !orders(_, c, "P", _).
