@@ -50,10 +50,7 @@ class Visitor:
 
     def visit(self, part: dict) -> None:
         kind = part.get("type") or "text"
-        handler = getattr(self, f"visit_{kind}", None)
-        if handler is None:
-            raise ValueError(f"no such part: {kind}")
-        handler(part)
+        {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}.get(kind, self.visit_other)(part)
 
     def add(self, text: str, tokens: int) -> None:
         self.text.append(text)
@@ -66,10 +63,14 @@ class Visitor:
         if text:
             self.add(apart + escape(text), len(_WORD.findall(text)))
 
+    def visit_other(self, part: dict) -> None:
+        """A part of a kind that isn't known keeps its place and reference, and expands to no token."""
+        self.attach("part", part, 0)
+
     def attach(self, kind: str, part: dict, tokens: int) -> None:
         """A placeholder such as <|image_0|>, numbered in order over all kinds."""
         n = len(self.attachments)
-        self.attachments.append({"position": n, "type": kind, "ref": part.get("ref"), "offset": self.offset, "tokens": tokens})
+        self.attachments.append({"position": n, "type": part.get("type") or kind, "ref": part.get("ref"), "offset": self.offset, "tokens": tokens})
         self.add(f"<|{kind}_{n}|>", tokens)
 
     def visit_image(self, part: dict) -> None:
@@ -103,6 +104,21 @@ def read_turn(segment: str) -> tuple[str, str]:
     return unescape(m[1]), unescape(m[2])
 
 
+def read_parts(segment: str, attachments: list[dict]) -> list[tuple[str, str | None]]:
+    """The parts of a segment in order: ("text", text), and (type, ref) of each attachment.
+
+    Placeholders are found by the offsets on record, so a text that says <|image_0|> stays a text. Texts that stood next to each other are one.
+    """
+    head = segment.index("\n", _TURN.fullmatch(segment).end(1)) + 1
+    out, at = [], head
+    for a in sorted(attachments, key=lambda a: a["position"]):
+        out += [("text", unescape(segment[at : a["offset"]]))] if a["offset"] > at else []
+        out.append((a["type"], a["ref"]))
+        at = segment.index("|>", a["offset"]) + 2
+    end = len(segment) - len(END) - 1
+    return out + ([("text", unescape(segment[at:end]))] if end > at else [])
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     conv, seq, began = None, 0, False
     for batch in batches:
@@ -140,7 +156,7 @@ def text_parts(turns: DataFrame) -> DataFrame:
 def format_conversations(turns: DataFrame) -> DataFrame:
     """turns: conv_id, turn, role, parts. A row per turn in order; a conversation's text is its segments joined by seq.
 
-    Null roles and texts are empty, null parts are none, an unknown kind of part fails. Rows without conv_id are one
+    Null roles and texts are empty, null parts are none; a part of an unknown kind is an attachment of no tokens with the placeholder <|part_n|>. Rows without conv_id are one
     conversation. Ties in turn are ordered by role and parts, and repeated rows stay. An empty table gives no rows.
     """
     attachment = pa.struct([("position", pa.int32()), ("type", pa.string()), ("ref", pa.string()), ("offset", pa.int32()), ("tokens", pa.int32())])

@@ -432,6 +432,25 @@ def test_parts_become_placeholders(spark):
     assert first.n_tokens == 1 + 4 + 50 + 1 + 1536 + 4 and len(out) == 3
 
 
+KINDS = ["image", "audio", "document", "video", "visit", "add"]
+PART = st.one_of(PIECES.map(lambda t: {"type": "text", "text": t}), st.tuples(st.sampled_from(KINDS), st.none() | st.text(max_size=4)).map(lambda x: {"type": x[0], "ref": x[1]}))
+
+
+@given(st.lists(PART, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_parts_of_any_kind_round_trip(parts):
+    s = chat.format_turn("user", [*parts, {"type": "text", "text": "<|image_0|>"}])
+    want = []
+    for p in [*parts, {"type": "text", "text": "<|image_0|>"}]:
+        if p["type"] != "text":
+            want.append((p["type"], p["ref"]))
+        elif p["text"] and want and want[-1][0] == "text":
+            want[-1] = ("text", want[-1][1] + p["text"])
+        elif p["text"]:
+            want.append(("text", p["text"]))
+    assert chat.read_parts(s["segment"], s["attachments"]) == want
+
+
 def test_one_long_conversation(spark):
     df = spark.range(3000).selectExpr("1L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "if(id = 7, null, concat('t', id)) text")
     row = chat.read_back(chat.text_parts(df)).collect()
