@@ -11,7 +11,7 @@ from rulewright.errors import ProgramError
 from rulewright.plans.analyse import Plan
 
 from .facts import escaped, path_exists, read_facts
-from .shared import delete
+from .shared import Table, delete
 
 
 def _columns(df: DataFrame) -> list[Column]:
@@ -28,11 +28,30 @@ def select_rows(df: DataFrame, where: dict[str, object] | None = None, drop: lis
     return df.drop(*drop)
 
 
+#: A page that starts further on is read from a sorted table, of which only the files that hold it are read.
+DEEP = 100_000
+
+
 def page(df: DataFrame, limit: int, offset: int = 0) -> tuple[DataFrame, bool]:
-    """The limit rows from offset on in the order of all columns, and whether more follow. Top-k on the executors: nothing is sorted whole."""
-    ordered = df.orderBy(*_columns(df))
-    more = ordered.offset(offset).limit(limit + 1).count() > limit
-    return ordered.offset(offset).limit(limit), more
+    """The limit rows from offset on in the order of all columns, and whether more follow.
+
+    Top-k on the executors up to DEEP rows. Beyond that the rows are sorted by ranges into files; their counts tell which files hold the
+    page, so no task meets more than a few of them.
+    """
+    ordered, skip = df.orderBy(*_columns(df)), offset
+    if offset > DEEP:
+        sorted_ = Table(ordered, "sorted").read()
+        counts = sorted_.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n")).orderBy("file").collect()
+        held, at = [], 0
+        for r in counts:
+            if at + r.n > offset and at < offset + limit + 1:
+                skip = skip if held else offset - at
+                held.append(r.file)
+            at += r.n
+        own = sorted_.filter(F.col("_metadata.file_path").isin(held))
+        ordered, skip = own.orderBy(*_columns(df)), skip if held else 0
+    more = ordered.offset(skip).limit(limit + 1).count() > limit
+    return ordered.offset(skip).limit(limit), more
 
 
 def write_by_relation(rows: DataFrame, path: str) -> None:

@@ -189,3 +189,14 @@ def test_rules_without_atoms_in_threads(spark):
     a = extract.Analysis("a", "", '.decl o(x: symbol, n: number)\no("b", strlen("abc")).\no("c", n) :- n = 1 + 1, n < 3.\n.output o', {"o": extract.Output("T", "low", "{n}", "x")})
     done = extract.run_analyses(spark, [a, a], {})
     assert tuples(done.findings.select("anchor", "detail")) == [("b", "3"), ("b", "3"), ("c", "2"), ("c", "2")] and not done.degraded
+
+
+def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
+    df = spark.range(500).selectExpr("cast(id * 37 % 500 as int) a", "cast(id % 3 as string) b").repartition(7)
+    for limit, offset in ((10, 0), (10, 123), (200, 290), (10, 490), (10, 495), (5, 700)):
+        monkeypatch.setattr(relations, "DEEP", 10**9)
+        rows, more = relations.page(df, limit, offset)
+        want = [tuple(r) for r in rows.collect()], more
+        monkeypatch.setattr(relations, "DEEP", -1)
+        rows, more = relations.page(df, limit, offset)
+        assert ([tuple(r) for r in rows.collect()], more) == want == ([tuple(r) for r in df.orderBy("a", "b").collect()][offset : offset + limit], offset + limit < 500)
