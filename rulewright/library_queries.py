@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from rulewright.functions.ids import function_of, index_of, make_id, module_of
 from rulewright.functions.scalar import register_function
 from rulewright.operators import cfg, extract, findings
-from rulewright.operators.staged import run_stages
+from rulewright.operators.staged import Stage, run_stages
 from rulewright.operators.value_flow import value_flow
 from rulewright.plans import library
 from rulewright.plans.analyse import analyse
@@ -374,6 +374,42 @@ def q_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.run_analyses(spark, [library.exposure()], facts, nulls="drop").findings.select("title", "anchor", "detail")
 
 
+_EFFECTS = f"""WITH RECURSIVE {CHAIN_SQL}, n AS (SELECT n_nationkey AS k FROM nation),
+body AS (SELECT k, 'Repo' AS repo FROM n WHERE k % 6 = 0 UNION SELECT k, 'Postgrex' FROM n WHERE k % 7 = 0 AND k % 6 <> 0),
+leads AS (SELECT k AS b, k AS f FROM body UNION SELECT l.b, c.y FROM leads l JOIN chain c ON c.x = l.f),
+inside AS (SELECT k AS b, k AS f FROM body UNION SELECT i.b, c.y FROM inside i JOIN chain c ON c.x = i.f WHERE NOT (c.y = c.x + 4 AND c.x % 3 = 0 AND c.x % 2 = 1) AND NOT (c.y = c.x + 1 AND c.x % 5 = 4)),
+act AS (SELECT k AS f, CASE k % 4 WHEN 0 THEN 'network' WHEN 1 THEN 'process' WHEN 2 THEN 'logging' ELSE 'ets' END AS c FROM n WHERE k % 8 <> 7)
+SELECT DISTINCT 'T:f' || body.k || '/0' AS anchor, repo || ' ' || c || ' ' || 'api' || act.f % 3 AS what FROM body JOIN act ON c <> 'logging'
+WHERE EXISTS (SELECT 1 FROM inside i WHERE i.b = body.k AND i.f = act.f) OR c <> 'process' AND EXISTS (SELECT 1 FROM leads l WHERE l.b = body.k AND l.f = act.f)"""
+
+
+@query("q_effects", _EFFECTS)
+def q_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sixth nation's function hands a closure to a repository's transaction, every seventh's only closure is one's body; closures call along the chain, some links in processes of their own."""
+    k = F.col("k")
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
+    links = chain(spark, sf_dir)
+    func, code = F.concat(F.lit("T:f"), k.cast("string"), F.lit("/0")), (lambda c: F.concat(F.lit("T:c"), c.cast("string"), F.lit("/0")))
+    site = F.concat(func, F.lit("#1"))
+    repo, plain = n.filter("k % 6 = 0"), n.filter("k % 7 = 0 and k % 6 <> 0")
+    call = lambda rows, mod, name: rows.select(site.alias("id"), func.alias("caller"), F.lit(mod).alias("mod"), F.lit(name).alias("func"), F.lit(1).alias("arity"))
+    apart, waited = links.filter("y = x + 4 and x % 3 = 0"), links.filter("y = x + 4 and x % 3 = 0 and x % 2 = 0")
+    lost = links.filter("y = x + 1 and x % 5 = 4")
+    act = F.expr("case k % 4 when 0 then 'network' when 1 then 'process' when 2 then 'logging' else 'ets' end")
+    facts = library.empty_facts(spark, "behaviours", "effects") | {
+        "implements_behaviour": spark.createDataFrame([("Repo", "Ecto.Repo")], "mod string, behaviour string"),
+        "remote_call": call(repo, "Repo", "transaction").unionAll(call(plain, "Postgrex", "transaction")).unionAll(call(n.filter("k % 6 <> 0 and k % 7 <> 0"), "Other", "transaction")),
+        "fun_handed": repo.select(site.alias("id"), func.alias("caller"), code(k).alias("fun"), F.lit("0").alias("arg_pos")),
+        "closure_def": n.select(func.alias("parent_func"), code(k).alias("closure_func")).unionAll(repo.select(func, F.lit("T:unused/0"))),
+        "impure_call": n.select(F.concat(code(k), F.lit("#2")).alias("id"), code(k).alias("caller"), F.concat(F.lit("api"), (k % 3).cast("string")).alias("api"), act.alias("category"), F.when(k % 8 == 7, "read").otherwise("write").alias("mode")),
+        "call_edge": links.select(code(F.col("x")).alias("caller"), code(F.col("y")).alias("callee")),
+        "process_start": apart.unionAll(lost).select(F.concat(code(F.col("x")), F.lit("#3")).alias("id"), code(F.col("x")).alias("func"), F.lit("p").alias("process"), F.lit("spawn").alias("kind"), code(F.col("y")).alias("runs")),
+        "awaits_task": waited.select(code(F.col("x")).alias("func"), F.concat(code(F.col("x")), F.lit("#3")).alias("start"), code(F.col("y")).alias("runs")),
+    }
+    made = run_stages(spark, [Stage("effects", library.effects().program)], facts, nulls="drop").outputs["effect_in_context"]
+    return made.select(F.col("func").alias("anchor"), F.concat_ws(" ", "scope", "category", "api").alias("what")).distinct()
+
+
 # Streams and commits.
 @query("q_stream_commits", _FINAL.format("true"))
 def q_stream_commits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,15 @@ def exposure() -> Analysis:
     )
 
 
+def effects() -> Analysis:
+    return Analysis(
+        "effects",
+        "lasting writes inside transactions",
+        text("behaviours", "effects"),
+        {"effect_in_context": Output("Lasting effect inside a transaction", "medium", "{func} opens a {context} of {scope}, and {via} calls {api} ({category}) inside it", "func", key=["func", "context", "category", "api"], earliest="opened")},
+    )
+
+
 def waits(fan_in: int = FAN_IN) -> Analysis:
     return Analysis(
         "waits",

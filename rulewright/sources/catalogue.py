@@ -95,6 +95,7 @@ resolved_apply(id: instr_id, caller: func_id, target: func_id)
 tuple_literal(id: instr_id, reg: symbol, tag: symbol, size: number)
 """,
     "extractor": """
+impure_call(id: instr_id, caller: func_id, api: symbol, category: symbol, mode: symbol)
 added_child(supervisor: symbol, child_mod: symbol, restart: symbol, type: symbol, caller_func: func_id)
 async_cast(caller_func: func_id, callee_mod: symbol)
 call_arg(caller: func_id, callee: func_id, arg_pos: number, value: symbol)
@@ -142,6 +143,7 @@ tls_verification(id: instr_id, func: func_id, setting: symbol)
 prior_sensitive(subject_kind: symbol, mod: symbol, name: symbol, kind: symbol, detail: symbol, detail_permille: number, permille: number)
 """,
     "staged": """
+awaits_task(func: func_id, start: instr_id, runs: func_id)
 call_edge(caller: func_id, callee: func_id)
 named_pid(name: symbol, process: symbol)
 process_call(func: func_id, anchor: instr_id, site: instr_id, api_kind: symbol, process: symbol)
