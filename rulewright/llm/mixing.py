@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import LOCATOR, materialise, or_empty, read_table, with_locator
 
-SEED, CAP = 17, 3
+SEED, CAP, SHARDS = 17, 3, 64
 BLOCKS_PER_SOURCE, MAX_BLOCKS, EXACT_BLOCKS, PER_PART = 2048, 500_000, 14, 100_000
 WEIGHTS = (1, 2, 3)
 
@@ -189,18 +189,23 @@ def _mix(located: DataFrame, shards: int, seed: int, cap: int, weights: tuple[in
     return out, deals
 
 
-def mix_report(docs: DataFrame, seed: int = SEED, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row.
+def mix_report(docs: DataFrame, seed: int = SEED, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, block and shards of every row, as mix() with as many shards draws it.
 
+    shards are those that the splitting tree dealt the row's draws to, by pass, and taken is the size as often as there are draws.
     Sources by code point, null last, have the weights in turn. Null text has no words; a row without words takes
     none. Equal rows are drawn together with their block and may be taken apart only in the block where a source's quota ends.
     An empty table gives no rows. Reruns agree, on a copy of the table in other files too. The plan for each source is made on the driver: over MAX_BLOCKS sources are refused.
     """
-    rows, _ = _mix(with_locator(docs), 1, seed, cap, weights)
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("extra"))).alias("taken"))
+    rows, deals = _mix(with_locator(docs), shards, seed, cap, weights)
+    d = deals.groupBy(F.col("source").alias("d_source"), F.col("block").alias("d_block")).agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("dealt"))
+    both = rows.join(d, rows["source"].eqNullSafe(d["d_source"]) & (rows["block"] == d["d_block"]), "left")
+    mine = F.filter(F.coalesce("dealt", F.array()), lambda x: (x["pass"] < F.col("whole")) | (F.col("extra") == 1))
+    out = both.withColumn("shards", F.transform(mine, lambda x: x["shard"]))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "block", "shards")
 
 
-def mix(docs: DataFrame, shards: int = 64, seed: int = SEED, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The mix itself: docs' columns with shard, pass and rank_key (in place of columns so named); a row appears once for each time that it is drawn.
 
     Ordered by rank_key a shard is shuffled; write it with repartition("shard").sortWithinPartitions("shard", "rank_key").

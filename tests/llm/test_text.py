@@ -529,6 +529,16 @@ def test_mix_rows_and_edges(spark):
     assert mixing.mix_report(edge.empty(spark)).count() == 0 and mixing.mix(edge.empty(spark)).count() == 0
 
 
+def test_report_is_of_the_draws_that_the_tree_deals(spark):
+    df = edge.docs(spark, [(200 + i, "some words here " * (i % 5 + 1), "en", "hot" if i % 3 else "cold") for i in range(300)])
+    report = mixing.mix_report(df).collect()
+    got = Counter((r.doc_id, s, p) for r in report for p, s in enumerate(r.shards))
+    assert got == Counter((r.doc_id, r.shard, r["pass"]) for r in mixing.mix(df).select("doc_id", "shard", "pass").collect())
+    assert all(r.taken == r["size"] * len(r.shards) for r in report) and len({s for _, s, _ in got}) == mixing.SHARDS
+    one = {r.doc_id: r.taken for r in mixing.mix_report(df, shards=1).collect()}
+    assert all(one[r.doc_id] == r.taken for r in report if r.doc_id is not None and r.doc_id >= 200)
+
+
 # WARC.
 def pages(spark):
     magic = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99:0:0>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
