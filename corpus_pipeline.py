@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rulewright.llm import decontaminate, exact_dedup, language_id, mixing, near_copies
+from rulewright.llm import decontaminate, exact_dedup, language_id, mixing, near_tree
 from rulewright.llm.common import read_table, shared_path
 
 
@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.keep_one_of_each_group(docs)
+    return near_tree.keep_one_of_each_group(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

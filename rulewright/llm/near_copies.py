@@ -6,7 +6,7 @@ tree over all fingerprints prunes nothing: random ones lie 32 bits apart, give o
 In a bucket one fingerprint is the vantage point. What lies within the radius of it is a star, however many they are, and needs no pairs.
 The others are compared with one another and, where the triangle bound lets a link pass, with members of the
 star; buckets of many such rows are cut into chunks, and every pair of chunks is a task of its own. So no link within a bucket is lost and
-none is capped. A link is 48 of 256 bits or fewer, the value for a similarity of 0.8 being 39, give or take 6.
+none is capped; links between texts without a bucket in common are. near_tree finds those too, and is what the pipeline takes. A link is 48 of 256 bits or fewer, the value for a similarity of 0.8 being 39, give or take 6.
 """
 
 from __future__ import annotations
@@ -48,20 +48,26 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts)))
 
 
+def wide_bits(h: np.ndarray) -> np.ndarray:
+    """The fingerprint of shingle hashes, WORDS longs."""
+    ones = np.zeros((WORDS, 64), np.int64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(h), 4096):
+            for k in range(WORDS):
+                x = _stir(h[at : at + 4096] + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
+                ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), axis=1, bitorder="little").reshape(-1).view(np.uint64)
+
+
 def sketch(text: str | None, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprint (WORDS longs) and the keys of the bands."""
     h = shingle_hashes(text, shingle)
-    ones, least = np.zeros((WORDS, 64), np.int64), np.full(BANDS * BAND, np.uint64(2**64 - 1))
+    least = np.full(BANDS * BAND, np.uint64(2**64 - 1))
     with np.errstate(over="ignore"):
         for at in range(0, len(h), 4096):
-            part = h[at : at + 4096]
-            for k in range(WORDS):
-                x = _stir(part + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
-                ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            np.minimum(least, (part[:, None] * _ODD[0] + _ODD[1]).min(axis=0), out=least)
-        bits = np.packbits(2 * ones > len(h), axis=1, bitorder="little").reshape(-1).view(np.uint64)
+            np.minimum(least, (h[at : at + 4096, None] * _ODD[0] + _ODD[1]).min(axis=0), out=least)
         rows = _stir(least + np.arange(BANDS * BAND, dtype=np.uint64)).reshape(BANDS, BAND)
-        return bits, _stir(rows.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+        return wide_bits(h), _stir(rows.sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
 def sketches(located: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -170,10 +176,10 @@ def _groups(located: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) ->
     return rows.join(stars.select(F.col("u").alias("fid"), "v"), "fid", "left").select("doc_id", *LOCATOR, F.coalesce("v", "fid").alias("rep"))
 
 
-def keep_one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, groups=_groups) -> DataFrame:
     """docs with the row of smallest id (null last) of each group of near copies; its columns stay."""
     located = with_locator(docs)
-    rows = materialise(_groups(located, shingle, radius), "near-groups")
+    rows = materialise(groups(located, shingle, radius), "near-groups")
     best = rows.groupBy("rep").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *LOCATOR)).alias("b")).select(*(F.col(f"b.{c}").alias(c) for c in LOCATOR))
     dropped = rows.select(*LOCATOR).join(best, LOCATOR, "left_anti")
     return located.join(dropped, LOCATOR, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -56,8 +56,10 @@ def fingerprints(located: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id long, {FILE} long, {ROW} long, fp long")
 
 
-def _far(a: np.ndarray, v: np.uint64) -> np.ndarray:
-    return np.bitwise_count(a ^ v).astype(np.int16)
+def _far(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Distances of fingerprints to one; wide ones have a row of words each."""
+    d = np.bitwise_count(a ^ v)
+    return (d if d.ndim == 1 else d.sum(axis=1)).astype(np.int16)
 
 
 def _split(d: np.ndarray) -> int | None:
@@ -69,20 +71,20 @@ def _split(d: np.ndarray) -> int | None:
     return int(below.max()) if len(below) else None
 
 
-def top_tree(sample: np.ndarray, depth: int) -> list[tuple[np.uint64, int]]:
+def top_tree(sample: np.ndarray, depth: int) -> list[tuple[np.ndarray, int]]:
     """Vantage points and bounds of a complete tree, in heap order; a node without enough sample points keeps its parent's bound on another vantage point."""
     nodes: list = [None] * (2**depth - 1)
-    sets = [sample]
+    sets, middle = [sample], 32 * int(np.prod(sample.shape[1:]))
     for k in range(len(nodes)):
         s = sets[k]
         rng = np.random.default_rng(k + 1)
-        v, mu = np.uint64(rng.integers(0, 2**64, dtype=np.uint64)), 32
+        v, mu = rng.integers(0, 2**64, sample.shape[1:], dtype=np.uint64), middle
         if len(s) > 1:
             for v in rng.choice(s, min(8, len(s)), replace=False):
                 if (mu := _split(_far(s, v))) is not None:
                     break
             else:
-                mu = 32
+                mu = middle
         nodes[k] = (v, mu)
         d = _far(s, v)
         sets += [s[d <= mu], s[d > mu]] if 2 * k + 2 < len(nodes) else []

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from rulewright.llm import components, exact_dedup, line_dedup, near_copies, simhash_vptree as sv
+from rulewright.llm import components, exact_dedup, line_dedup, near_copies, near_tree, simhash_vptree as sv
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -295,3 +295,52 @@ def test_near_copies_of_similarity_are_caught(spark):
     rep = {r.doc_id: r.rep for r in near_copies.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     close = sum(rep[3 * k] == rep[3 * k + 1] for k in range(120))
     assert close >= 0.93 * 120 and all(rep[3 * k] != rep[3 * k + 2] for k in range(120))
+
+
+def test_wide_trees_find_every_pair():
+    """Whole clusters of 256-bit points: dealt to shards, and inside one, at a radius that prunes and at the stage's own."""
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**64, (60, 4), dtype=np.uint64)
+    fps = np.repeat(centres, 40, axis=0)
+    for _ in range(16):
+        fps[np.arange(len(fps)), rng.integers(0, 4, len(fps))] ^= np.uint64(1) << rng.integers(0, 64, len(fps), dtype=np.uint64)
+    for radius in (6, near_copies.RADIUS):
+        d = sum(np.bitwise_count(fps[:, k][:, None] ^ fps[:, k][None, :]).astype(int) for k in range(4))
+        links = {(a, b) for a, b in zip(*np.nonzero(d <= radius), strict=True) if a < b}
+        shard, ix, home = sv.route(fps, sv.top_tree(fps[::3], 4), radius)
+        homes = dict(zip(ix[home].tolist(), shard[home].tolist(), strict=True))
+        places = set(zip(shard.tolist(), ix.tolist(), strict=True))
+        assert len(homes) == int(home.sum()) == len(fps)
+        assert all((homes[a], b) in places or (homes[b], a) in places for a, b in links)
+        found = sv._Clusters(len(fps))
+        near_tree.tree_links(fps.T.copy(), np.arange(1500), np.arange(1500, len(fps)), True, found, radius, leaf=16)
+        root = list(range(len(fps)))
+        for a, b in sorted(links):
+            if a < 1500 and root[a] != root[b]:
+                root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        assert found.label.tolist() == root
+
+
+@pytest.mark.parametrize(("per_shard", "chunk"), [(8192, 32768), (8, 5)])
+def test_no_link_of_near_copies_is_lost(spark, monkeypatch, per_shard, chunk):
+    """Links within the radius hold whatever else two texts share: some of these have no min-hash band in common."""
+    monkeypatch.setattr(near_tree, "PER_SHARD", per_shard)
+    monkeypatch.setattr(near_tree, "MAX_CHUNKS", 10**6)
+    monkeypatch.setattr(near_tree.near_links, "__defaults__", (near_copies.RADIUS, chunk))
+    texts, apart = [], 0
+    for k in range(120):
+        base = prose(9000 + k)
+        other = edited(base, 11, k)
+        a, b = brute_sketch(" ".join(base)), brute_sketch(" ".join(other))
+        apart += (a[0] ^ b[0]).bit_count() <= 48 and a[1].isdisjoint(b[1])
+        texts += [base, other]
+    assert apart > 0
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(None, None), (1000, ""), (1001, " ")]
+    root = brute_components([brute_sketch(t)[0] for _, t in rows], lambda a, b: (a ^ b).bit_count() <= 48)
+    want = defaultdict(set)
+    for k, (i, _) in zip(root, rows, strict=True):
+        want[k].add(i)
+    got = defaultdict(set)
+    for r in near_tree.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.rep].add(r.doc_id)
+    assert {frozenset(g) for g in want.values()} == {frozenset(g) for g in got.values()}
