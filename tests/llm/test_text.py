@@ -644,3 +644,14 @@ def test_stages_take_any_documents(spark, sf_dir, make):
     corpus_pipeline.STAGES[-1][1](spark, df, sf_dir).count()
 
 
+def test_near_dedup_stage_loses_no_link(spark, sf_dir):
+    """Two real documents here lie within the radius without a min-hash band in common: one of them goes."""
+    from test_dedup import brute_components, brute_sketch
+
+    docs = edge.real(spark, sf_dir)
+    rows = docs.collect()
+    root = brute_components([brute_sketch(r.text)[0] for r in rows], lambda a, b: (a ^ b).bit_count() <= 48)
+    groups = {}
+    for k, r in zip(root, rows, strict=True):
+        groups.setdefault(k, set()).add(r.doc_id)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()} == {min(g) for g in groups.values()}
