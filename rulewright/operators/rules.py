@@ -82,6 +82,8 @@ class _Body:
             self.frame = scan.frame if scan.bound else scan.frame.limit(1)
         elif not scan.bound:
             self.frame = self.frame.join(scan.frame.select(F.lit(1).alias("one")).limit(1), F.lit(True), "left_semi")
+        elif len(shared) == len(scan.bound):  # nothing new: relations are sets, so one match is as good as many
+            self.frame = self.frame.join(scan.frame, [_column(v) for v in shared], "left_semi")
         elif shared:
             self.frame = self.frame.join(scan.frame, [_column(v) for v in shared])
         else:

@@ -50,6 +50,12 @@ def _scan(df: DataFrame) -> bool:
     return walk(df._jdf.queryExecution().analyzed())
 
 
+def _void(df: DataFrame) -> bool:
+    """True if its plan alone says that df has no rows."""
+    most = df._jdf.queryExecution().optimizedPlan().maxRows()
+    return most.isDefined() and most.get() == 0
+
+
 class Solver:
     """The relations of a plan over bound inputs, each made when it is first asked for."""
 
@@ -63,6 +69,7 @@ class Solver:
         self.kept: list[DataFrame] = []
         self.tables: list[Table] = []
         self.rounds: dict[str, int] = {}
+        self.void: set[str] = set()
         self.readers = plan.readers()
         self.looped = {d for s in plan.strata if s.recursive for n in s.relations for r in plan.rules.get(n, []) for d, _ in dependencies(r)} - {n for s in plan.strata if s.recursive for n in s.relations}
         self.stratum = {n: s for s in plan.strata for n in s.relations}
@@ -88,6 +95,9 @@ class Solver:
         name = s.relations[0]
         df = self.seed(name, self.plan.rules.get(name, []))
         derived = bool(self.plan.rules.get(name))
+        if derived and name in self.looped and _void(df):
+            self.void.add(name)
+            df = self.spark.createDataFrame([], self.plan.schema(name))
         # What every round of a loop reads is made once; a plain scan is as good as a kept copy.
         if derived and (self.readers.get(name, 0) > 1 or name in self.plan.limits) or name in self.looped and not _scan(df):
             df = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -124,6 +134,8 @@ class Solver:
         group = set(s.relations)
         inner = lambda r: [i for i, x in enumerate(r.body) if isinstance(x, Atom) and x.relation in group]
         looping = {n: [r for r in self.plan.rules.get(n, []) if inner(r)] for n in s.relations}
+        if self.void:  # a rule over a relation that can have no rows gives none
+            looping = {n: [r for r in rules if not any(isinstance(x, Atom) and x.relation in self.void for x in r.body)] for n, rules in looping.items()}
         if self.doubling and len(group) == 1:
             looping = {n: [doubled(self.plan, n, looping[n])] if closes(self.plan, n, looping[n]) else looping[n] for n in group}
         every: dict[str, list[Table]] = {}
@@ -134,6 +146,7 @@ class Solver:
             every[n], delta[n] = [t], t if size[n] else None
             self.check(n, size[n])
         rounds = 0
+        before: dict[str, list[Table]] = {n: [] for n in s.relations}
         while any(delta.values()):
             rounds += 1
             fresh: dict[str, Table | None] = {}
@@ -143,19 +156,21 @@ class Solver:
                 frames = []
                 for r in looping[n]:
                     for at in inner(r):
-                        if delta[r.body[at].relation] is None:
+                        # Pairs of two new rows are made once: atoms before this one give what was known before the round.
+                        if delta[r.body[at].relation] is None or any(i < at and not before[r.body[i].relation] for i in inner(r)):
                             continue
 
                         def read(atom: Atom, i: int, at: int = at) -> DataFrame:
                             if atom.relation not in group:
                                 return self.known[atom.relation]
-                            return delta[atom.relation].read() if i == at else read_all(every[atom.relation])
+                            return delta[atom.relation].read() if i == at else read_all((before if 0 <= i < at else every)[atom.relation])
 
                         frames.append(rule_frame(self.spark, self.plan, r, read, first=at))
                 due[n] = frames
             with ThreadPoolExecutor(JOBS) as jobs:  # the relations of a round don't wait for each other
                 for n, found in zip(due, jobs.map(lambda n: self.unseen(n, due[n], every[n], size[n]) if due[n] else (None, 0), due), strict=True):
                     fresh[n], grown[n] = found
+            before = {n: list(every[n]) for n in s.relations}
             for n in s.relations:
                 if fresh[n] is not None:
                     every[n].append(fresh[n])
@@ -171,6 +186,9 @@ class Solver:
     def unseen(self, name: str, frames: list[DataFrame], every: list[Table], size: int) -> tuple[Table | None, int]:
         """The distinct rows of frames that aren't in every; None if there are none."""
         found, on, held = reduce(DataFrame.unionAll, frames).distinct(), [c for c, _ in self.plan.decls[name].columns], None
+        if not size:
+            t, n = self.table(found, name)
+            return (t, n) if n else (None, 0)
         known = read_all(every)
         if size >= PREFILTER_ROWS:  # few candidates then reduce the known rows where they lie
             held, n = self.table(found, name)

@@ -30,13 +30,16 @@ class Staged:
     degraded: list[tuple[str, str]]
 
 
-def run_stages(spark: SparkSession, stages: list[Stage], facts: dict[str, DataFrame], nulls: str = "reject") -> Staged:
-    """All stages in order. Which program of a stage runs depends on the facts alone, never on time."""
+def run_stages(spark: SparkSession, stages: list[Stage], facts: dict[str, DataFrame], nulls: str = "reject", wanted: list[str] | None = None) -> Staged:
+    """All stages in order, with the outputs that are wanted (all, if not told). Which program of a stage runs depends on the facts alone, never on time."""
     known, chosen, degraded = dict(facts), {}, []
     for stage in stages:
         programs = [stage.program, *stage.fallbacks]
         for k, text in enumerate(programs):
-            plan = analyse(parse(text, stage.name))
+            parsed = parse(text, stage.name)
+            if wanted is not None:
+                parsed.outputs = {n: path for n, path in parsed.outputs.items() if n in wanted}
+            plan = analyse(parsed)
             solver = Solver(spark, plan, {n: known[n] for n in plan.inputs if n in known}, nulls)
             try:
                 made = {n: Table(df, f"stage-{n}".replace(".", "-")).read() for n, df in solver.outputs().items()}
