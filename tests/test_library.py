@@ -252,3 +252,19 @@ def test_deep_pages_equal_shallow_ones(spark, monkeypatch):
         monkeypatch.setattr(relations, "DEEP", -1)
         rows, more = relations.page(df, limit, offset)
         assert ([tuple(r) for r in rows.collect()], more) == want == ([tuple(r) for r in df.orderBy("a", "b").collect()][offset : offset + limit], offset + limit < 500)
+
+
+def test_findings_of_a_key_are_made_by_the_key(spark):
+    """Two modules that register a name at several sites are one finding; it is made once, not once for each pair of sites."""
+    sites = [(f"m{m}:f/0#{i}", f"m{m}:f/0", "n", "name") for m in range(3) for i in range(4)]
+    facts = {"process_register": sites, "function_def": [(f"m{m}:f/0", f"m{m}", "f", 0, 1) for m in range(3)]}
+    analysis = library.structure()
+    parsed = parse(analysis.program)
+    key = extract.by_key(parsed, "duplicate_process_name", analysis.outputs["duplicate_process_name"])
+    plan = analyse(parsed, [key, "duplicate_process_name"])
+    got = solve(spark, plan, frames(spark, facts, plan.inputs))
+    assert tuples(got[key]) == [("n", f"m{a}", f"m{b}") for a in range(3) for b in range(a + 1, 3)]
+    assert got["duplicate_process_name"].count() == 3 * 16
+    done = extract.run_analyses(spark, [analysis], frames(spark, facts, plan.inputs | dict.fromkeys(analyse(parse(analysis.program)).inputs)))
+    assert tuples(done.findings.select("anchor", "detail")) == [(f"m{a}", f"m{a} and m{b} both register n") for a in range(3) for b in range(a + 1, 3)] and not done.degraded
+    assert extract.by_key(parse(analysis.program), "consumer_supervisor_permanent_child", analysis.outputs["consumer_supervisor_permanent_child"]) is None
